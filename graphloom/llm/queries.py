@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from graphloom.llm.bpe import op3_bpe
 from graphloom.llm.hmm_lm import op1_hmm_lm
+from graphloom.llm.packing import op10_packing
 
-QUERIES = {"op1_hmm_lm": op1_hmm_lm}
+QUERIES = {"op1_hmm_lm": op1_hmm_lm, "op3_bpe": op3_bpe, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
