@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from graphloom.llm.bpe import op3_bpe
+from graphloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from graphloom.llm.hmm_lm import op1_hmm_lm
+from graphloom.llm.outliers import op7_outliers
 from graphloom.llm.packing import op10_packing
+from graphloom.llm.pii import op5_pii
 
-QUERIES = {"op1_hmm_lm": op1_hmm_lm, "op3_bpe": op3_bpe, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_hmm_lm": op1_hmm_lm, "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_pii": op5_pii, "op7_outliers": op7_outliers, "op10_packing": op10_packing}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
