@@ -5,8 +5,8 @@ position); an entry whose symbols have changed since it was queued is stale and
 concatenates vocabulary strings, which the file's missing decoder asks to be set apart by one space.
 
 Neither the normaliser nor the pre-tokeniser of such a file looks across ASCII white space, so a text
-is encoded stretch by stretch and each worker remembers the ids of stretches it has met, in a table
-that is emptied when it reaches ``MEMORY`` entries. Whole texts are encoded, however long.
+is encoded stretch by stretch and each worker remembers the ids of stretches it has met, in two tables of
+at most ``MEMORY`` entries: when the newer is full it becomes the older, and what is met again moves up. Whole texts are encoded, however long.
 
 Defined cases: a null or empty text has no ids; the strings of special tokens inside a text become
 their ids, as the tokenizers library does by default; repeated rows give repeated results.
@@ -46,7 +46,7 @@ def _byte_symbols() -> list[str]:
 
 
 class Bpe(dict):
-    """Maps a stretch without ASCII white space (bytes) to its ids as little-endian unsigned 32-bit integers."""
+    """Maps a stretch without ASCII white space to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, spec: str):
         super().__init__()
@@ -56,53 +56,57 @@ class Bpe(dict):
         self.strings = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for s, i in [*vocab.items(), *self.special.items()]:
             self.strings[i] = s
-        self.merges = {}
+        self.ranks, self.made = {}, []  # a pair is one integer: left << 16 | right
         for rank, (a, b) in enumerate(data["model"]["merges"]):
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] << 16 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
         symbols = _byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + end] for s in symbols]
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}  # pre-tokens
+        self.older_words: dict[bytes, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
-        n, merges = len(symbols), self.merges
+        n, rank_of, made = len(symbols), self.ranks.get, self.made
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            a, b = symbols[i], symbols[i + 1]
-            if m := merges.get((a, b)):
-                queue.append((m[0], i, a, b, m[1]))
+        symbols.append(-1)  # the neighbour of either end, in no pair
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank_of(symbols[i] << 16 | symbols[i + 1])) is not None]
         heapify(queue)
         while queue:
-            _, i, a, b, new = heappop(queue)
+            entry = heappop(queue)
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
             j = nxt[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
+            if rank_of(symbols[i] << 16 | symbols[j]) != rank:
                 continue  # stale
-            symbols[i], symbols[j] = new, -1
-            k = nxt[i] = nxt[j]
+            symbols[i] = new = made[rank]
+            symbols[j] = -1
+            nxt[i] = k = nxt[j]
+            nxt[j] = n
             if k < n:
                 prv[k] = i
-                if m := merges.get((new, symbols[k])):
-                    heappush(queue, (m[0], i, new, symbols[k], m[1]))
+                if (r := rank_of(new << 16 | symbols[k])) is not None:
+                    heappush(queue, r << 32 | i)
             h = prv[i]
-            if h >= 0 and (m := merges.get((symbols[h], new))):
-                heappush(queue, (m[0], h, symbols[h], new, m[1]))
+            if h >= 0 and (r := rank_of(symbols[h] << 16 | new)) is not None:
+                heappush(queue, r << 32 | h)
         return [s for s in symbols if s >= 0]
 
-    def word(self, word: str) -> bytes:
+    def word(self, raw: bytes) -> bytes:
         """Ids of one pre-token."""
-        got = self.words.get(word)
+        got = self.words.get(raw)
         if got is None:
-            raw = word.encode()
-            symbols = [self.inner[b] for b in raw]
-            symbols[-1] = self.last[raw[-1]]
-            symbols = self.merge(symbols) if len(symbols) > 1 else symbols
-            got = struct.pack(f"<{len(symbols)}I", *symbols)
-            if len(word) <= 64:
+            got = self.older_words.get(raw)
+            if got is None:
+                symbols = [self.inner[b] for b in raw]
+                symbols[-1] = self.last[raw[-1]]
+                symbols = self.merge(symbols) if len(symbols) > 1 else symbols
+                got = struct.pack(f"<{len(symbols)}I", *symbols)
+            if len(raw) <= 64:
                 if len(self.words) >= MEMORY:
-                    self.words.clear()
-                self.words[word] = got
+                    self.words, self.older_words = {}, self.words
+                self.words[raw] = got
         return got
 
     def plain(self, text: str) -> bytes:
@@ -112,7 +116,7 @@ class Bpe(dict):
             text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
         else:
             text = text.lower()
-        return b"".join(map(self.word, PRE_TOKEN.findall(text)))
+        return b"".join([self.word(w.encode()) for w in PRE_TOKEN.findall(text)])
 
     def stretch(self, text: str) -> bytes:
         if self.split is None or "<|" not in text:
@@ -121,9 +125,22 @@ class Bpe(dict):
         return b"".join(struct.pack("<I", self.special[p]) if i % 2 else self.plain(p) for i, p in enumerate(parts))
 
     def __missing__(self, raw: bytes) -> bytes:
-        got = self.stretch(raw.decode())
+        got = self.older.get(raw)
+        if got is None:
+            # most stretches are letters, at most with one sign behind them: one pre-token or two
+            core, sign = (raw[:-1], raw[-1:]) if raw[-1] in b".,!?;:" else (raw, b"")
+            if core.isalpha():
+                got = self.word(core.lower())
+            elif (text := core.decode()).isalpha() and "\u0130" not in text:  # that letter's lower case is two characters
+                text = unicodedata.normalize("NFC", text)
+                got = self.word(("".join(map(str.lower, text)) if "\u03a3" in text else text.lower()).encode())
+            else:
+                got, sign = self.stretch(raw.decode()), b""
+            if sign:
+                got += self.word(sign)
         if len(raw) <= 64:
             if len(self) >= MEMORY:
+                self.older = dict(self)
                 self.clear()
             self[raw] = got
         return got
