@@ -75,7 +75,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     extra = [f"in_{c}" for c in carry or []]
     alone = log.where("norm IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"), *extra)
     maybe = log.where("norm IS NOT NULL")
-    groups = maybe.groupBy("digest", "norm").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # written first: a join of two scans is one whose hot partitions adaptive execution can split
+    groups = spool(maybe.groupBy("digest", "norm").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     met = maybe.join(groups, ["digest", "norm"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.col("digest").alias("text_sha256"), *extra)
     return alone.unionByName(met)
 
