@@ -38,6 +38,7 @@ HALF = 0.75  # share of the group that the estimate rests on
 CONSISTENCY = 1.412  # fixed value: HALF / P(chi2_7 <= chi2_5's HALF quantile), makes the core's scatter that of the whole under normality
 LEAST = 50
 STEPS = 3
+SALTS = 32
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -103,29 +104,32 @@ def robust_distance(rows: DataFrame, group: list[str]) -> DataFrame:
     """``rows`` (spooled, with x0.. and the group columns) with d2 to the group's robust centre."""
     names = [n for n, _, _ in VECTOR]
     keys = [f"g_{i}" for i in range(len(group))]
-    rows = rows.select("*", *[F.coalesce(F.col(g).cast("string"), F.lit("\0")).alias(k) for g, k in zip(group, keys)])
+    # rows meet what is known of their group by (group, salt), so that no group, however large, is one task
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    rows = rows.select("*", *[F.coalesce(F.col(g).cast("string"), F.lit("\0")).alias(k) for g, k in zip(group, keys)], salt.alias("salt"))
+    met = [*keys, "salt"]
+    salted = lambda small: small.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     shape = [f"l_{i}_{j}" for i in range(P) for j in range(i + 1)]
     centre = [f"m_{n}" for n in names]
 
     def distances(estimate: DataFrame) -> DataFrame:
-        return _distance(rows.join(estimate.select(*keys, *centre, *shape), keys))
+        return _distance(rows.join(salted(estimate), met))
 
     # the start: medians, and deviations from quartiles, as a diagonal scatter
     q = rows.groupBy(*keys).agg(*[F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(f"q_{n}") for n in names], F.count(F.lit(1)).alias("n"))
     start = q.select(*keys, *[F.col(f"q_{n}")[1].alias(f"m_{n}") for n in names], *[(F.pow((F.col(f"q_x{i}")[2] - F.col(f"q_x{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c_x{i}_x{j}") for i in range(P) for j in range(i + 1)])
     estimate = spool(_factor(start, 1.0), "mcd-start")
     for _ in range(STEPS):
-        near = distances(estimate)
-        limit = near.groupBy(*keys).agg(F.percentile_approx("d2", HALF, 1000).alias("limit"))
-        core = near.join(limit, keys).where("d2 <= limit")
+        known = estimate.select(*keys, *centre, *shape)
+        limit = spool(distances(known).groupBy(*keys).agg(F.percentile_approx("d2", HALF, 1000).alias("limit")), "mcd-limit")
+        core = distances(known.join(limit, keys)).where("d2 <= limit")
         estimate = spool(_factor(core.groupBy(*keys).agg(*_moments(names)), CONSISTENCY), "mcd-step")
     # small groups take the estimate of all rows' cores
-    every = spool(_factor(distances(estimate).where(F.col("d2") <= CUTOFF).agg(*_moments(names)), 1.0), "mcd-all").select(*centre, *shape).first()
+    every = spool(_factor(distances(estimate.select(*keys, *centre, *shape)).where(F.col("d2") <= CUTOFF).agg(*_moments(names)), 1.0), "mcd-all").select(*centre, *shape).first()
     if every is None or every[0] is None:
-        return rows.withColumn("d2", F.lit(0.0)).drop(*keys)
+        return rows.withColumn("d2", F.lit(0.0)).drop(*met)
     chosen = estimate.select(*keys, *[F.when(F.col("n") >= LEAST * HALF, F.col(c)).otherwise(F.lit(every[c])).alias(c) for c in [*centre, *shape]])
-    done = _distance(rows.join(chosen, keys))
-    return done.select(*[c for c in rows.columns if c not in keys], "d2")
+    return distances(chosen).select(*[c for c in rows.columns if c not in met], "d2")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: tuple[str, ...] = ("lang", "source")) -> DataFrame:
