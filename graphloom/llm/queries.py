@@ -8,6 +8,7 @@ from graphloom.llm.hmm_lm import op1_hmm_lm
 from graphloom.llm.outliers import op7_outliers
 from graphloom.llm.packing import op10_packing
 from graphloom.llm.pii import op5_pii
+from graphloom.llm.toxicity import op2_toxicity
 
-QUERIES = {"op1_hmm_lm": op1_hmm_lm, "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_pii": op5_pii, "op7_outliers": op7_outliers, "op10_packing": op10_packing}
+QUERIES = {"op1_hmm_lm": op1_hmm_lm, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_pii": op5_pii, "op7_outliers": op7_outliers, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
