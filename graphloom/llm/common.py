@@ -45,6 +45,23 @@ def fold_of(id_column: str | Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+MOST_WORDS = 1 << 20  # of a bit table: 64 bits each, 16 MB at most are broadcast
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a boolean ``__maybe``: false only where ``column`` is none of the values in ``keys``.
+
+    A bit table of eight bits a key, up to a fixed size, is broadcast; beyond that size it only lets more rows through.
+    It keeps rows without a partner out of the shuffle of the exact join that follows.
+    """
+    words = 1 << max(10, min(MOST_WORDS.bit_length() - 1, (keys.count() // 8 + 1).bit_length()))
+    word = F.pmod(F.xxhash64(column), F.lit(words)).alias("__word")
+    bit = F.pmod(F.shiftrightunsigned(F.xxhash64(column), 40), F.lit(64)).cast("int").alias("__bit")
+    table = keys.select(word, bit).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    met = rows.select("*", word, bit).join(F.broadcast(table), "__word", "left")  # at most MOST_WORDS rows
+    return met.withColumn("__maybe", F.coalesce(F.expr("shiftrightunsigned(__bits, __bit) & 1"), F.lit(0)) == 1).drop("__word", "__bit", "__bits")
+
+
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], schema=schema)

@@ -20,11 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import documents, spool
+from graphloom.llm.common import documents, maybe_in, spool
 
 SPACE = r"[\x20\x09-\x0D]+"
 GENERATIONS = 8
-MOST_WORDS = 1 << 20  # of the hits' filter: 64 bits each, so 16 MB at most are broadcast
 
 
 def normalised(text: str | Column) -> Column:
@@ -50,28 +49,14 @@ def compact(*runs: DataFrame) -> DataFrame:
     return every.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
 
-def _bit(digest: str, words: int) -> tuple[Column, Column]:
-    h = F.xxhash64(digest)
-    return F.pmod(h, F.lit(words)).alias("word"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(64)).cast("int").alias("bit")
-
-
-def hit_filter(index: DataFrame) -> tuple[DataFrame, int]:
-    """(word, bits) of the digests with several rows, and the number of words: eight bits a hit, within bounds."""
-    hits = index.where("n > 1").select("digest")
-    words = 1 << max(10, min(MOST_WORDS.bit_length() - 1, (hits.count() // 8 + 1).bit_length()))
-    word, bit = _bit("digest", words)
-    return hits.select(word, bit).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), words
-
-
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256, and the columns in ``carry`` (prefixed ``in_``)."""
     carried = [F.col(c).alias(f"in_{c}") for c in carry or []]
     index = spool(compact(flush(docs, id_col, text_col)), "dedup-index")
-    bits, words = hit_filter(index)
-    word, bit = _bit("digest", words)
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"), *carried).withColumn("digest", _digest("norm")).select("*", word, bit)
-    met = rows.join(F.broadcast(bits), "word", "left").withColumn("maybe", F.coalesce(F.expr("shiftrightunsigned(bits, bit) & 1"), F.lit(0)) == 1)  # at most MOST_WORDS rows
-    log = spool(met.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "digest", F.when(F.col("maybe"), F.col("norm")).alias("norm"), *[f"in_{c}" for c in carry or []]), "dedup-log")
+    hits = index.where("n > 1").select("digest")
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"), *carried).withColumn("digest", _digest("norm"))
+    met = maybe_in(rows, hits, "digest")
+    log = spool(met.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "digest", F.when(F.col("__maybe"), F.col("norm")).alias("norm"), *[f"in_{c}" for c in carry or []]), "dedup-log")
     extra = [f"in_{c}" for c in carry or []]
     alone = log.where("norm IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"), *extra)
     maybe = log.where("norm IS NOT NULL")

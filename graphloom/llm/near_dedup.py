@@ -8,9 +8,12 @@ with the probability of their weighted Jaccard similarity. Points are drawn in r
 than the latest register.
 
 Registers are banded. Texts with the same words are one node first. In each bucket all nodes meet the
-smallest one; components of the verified links follow. Buckets that still hold several components get a second
-meeting: every node outside the bucket's largest component meets all others in the bucket of another component. After it, no pair of a bucket whose link
-could matter is untested. Links are verified by the exact multiset overlap of whole texts.
+smallest one; components of the verified links follow. Nodes of buckets that still hold several components are
+looked at again. Of each, the shingles that no other such node has are counted; they bound its similarity to any other
+from above. In every such bucket the node with the smallest share of them, the one nearest to what the others were copied from, meets all
+others. In buckets that are open even then, every node outside the largest component meets those nodes of other
+components that the bounds allow to be alike. After that, no pair of a bucket is untested whose link could matter. Links are
+verified by the exact multiset overlap of whole texts.
 
 Defined cases: a text of one to four words is one shingle; texts without words (null too) are alike; null ids
 are larger than all others; repeated rows are one node; columns other than id and text are ignored.
@@ -19,6 +22,7 @@ are larger than all others; repeated rows are one node; columns other than id an
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from graphloom.llm.common import documents, spool, text_bytes
+from graphloom.llm.common import documents, maybe_in, spool, text_bytes
 from graphloom.llm.components import components
 
 WIDTH = 5
 BANDS, ROWS = 28, 6  # at similarity 0.8, 0.9998 of the pairs share a bucket
 THRESHOLD = (4, 5)  # overlap of at least 4/5 of the union
 BATCH = 1_000_000  # words of a numpy batch
-MOST_WORDS = 1 << 20  # of the bit table: 64 bits each
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,7 +82,8 @@ def bag_min_hash(sh: np.ndarray, doc: np.ndarray, weight: np.ndarray, texts: int
         above = weight > low
         parts.append((sh[above], doc[above], weight[above], low, size))
         low, size = low + size, size * 2
-    seed = np.concatenate([_mix(s ^ np.uint64(0xA24BAED4963EE407) + np.uint64(b) * _K) for b, (s, *_) in enumerate(parts)])
+    salts = np.arange(len(parts), dtype=np.uint64) * _K + np.uint64(0xA24BAED4963EE407)
+    seed = np.concatenate([_mix(s ^ salt) for salt, (s, *_) in zip(salts, parts)])
     at = np.concatenate([d for _, d, *_ in parts])
     room = np.concatenate([w - lo for _, _, w, lo, _ in parts])  # levels of the block that the text has
     rate = np.concatenate([np.full(len(s), float(z)) for s, *_, z in parts])
@@ -125,7 +129,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return THRESHOLD[1] * both >= THRESHOLD[0] * (len(a) + len(b) - both)
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
+def sign(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, row_col: str | None = None) -> DataFrame:
     """(rid, doc_id, same, n, bands): row number, id, digest of the words, shingles, band keys."""
     shape = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -146,7 +150,8 @@ def sign(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.where(count > 0, bands, 0)))).astype(np.int32), keys[used].ravel())
                 yield pa.RecordBatch.from_arrays([b.column("rid").slice(first, len(words)), b.column("doc_id").slice(first, len(words)), pa.array(same, pa.binary()), pa.array(count), lists], names=shape.names)
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).mapInArrow(run, shape)
+    rid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    return docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).mapInArrow(run, shape)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -170,58 +175,98 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """(node, t) of the nodes; a bit table of bounded size keeps most other texts out of the shuffle."""
-    wanted = signed.join(nodes.withColumnRenamed("node", "rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "same")
-    wanted = spool(wanted, "near-wanted")
-    words = 1 << max(10, min(MOST_WORDS.bit_length() - 1, (wanted.count() // 8 + 1).bit_length()))
-    word = lambda c: F.pmod(F.xxhash64(c), F.lit(words)).alias("word")
-    bit = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 40), F.lit(64)).cast("int").alias("bit")
-    table = wanted.select(word("same"), bit("same")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    """(node, t) of the nodes."""
+    wanted = spool(signed.join(nodes.withColumnRenamed("node", "rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "same"), "near-wanted")
 
     def digest(batches):
         for b in batches:
             t = b.column(0)
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(b" ".join(x.split()), digest_size=16).digest() for x in t.to_pylist()], pa.binary()), t], names=["same", "t"])
 
-    rows = docs.select(text_bytes(text_col).alias("t")).mapInArrow(digest, "same binary, t binary").select("*", word("same"), bit("same"))
-    maybe = rows.join(F.broadcast(table), "word").where(F.expr("shiftrightunsigned(bits, bit) & 1") == 1).select("same", "t")  # at most MOST_WORDS rows
+    rows = docs.select(text_bytes(text_col).alias("t")).mapInArrow(digest, "same binary, t binary")
+    maybe = maybe_in(rows, wanted, "same").where("__maybe").select("same", "t")
     # of equal texts one is enough: partial aggregation drops the others before they move
     return spool(maybe.join(wanted, "same").groupBy("node").agg(F.first("t").alias("t")), "near-texts")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: rid (row number), doc_id, class_id (its class's smallest id), class_size, kept (one row per class)."""
-    signed = spool(sign(docs, id_col, text_col, bands, rows), "near-signed")
+def _shared(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, k): how many of its shingles at least one other of ``nodes`` has too."""
+
+    def explode(batches):
+        for b in batches:
+            sets = [ranked_set(t.split()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))], names=["h", "node"])
+
+    own = maybe_in(texts, nodes, "node").where("__maybe").select("node", "t").mapInArrow(explode, "h long, node long").join(nodes, "node", "left_semi")
+    alone = own.groupBy("h").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return nodes.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, row_col: str | None = None) -> DataFrame:
+    """One row per document: rid, doc_id, class_id (its class's smallest id), class_size, kept (one row per class).
+
+    rid is ``row_col`` if given, a column of different numbers, else a row number.
+    """
+    signed = spool(sign(docs, id_col, text_col, bands, rows, row_col), "near-signed")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     nodes = spool(signed.groupBy("same").agg(F.min("rid").alias("node")), "near-nodes")
     n_of = lambda as_: signed.select(F.col("rid").alias(as_), F.col("n").alias(f"n_{as_}"))
     members = signed.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.explode("bands").alias("bucket"), F.col("rid").alias("node"))
     buckets = spool(members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "pivot"), "near-buckets")
     members = spool(members.join(buckets, "bucket"), "near-members")
-
-    def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        near = pairs.join(n_of("a"), "a").join(n_of("b"), "b").where(f"{THRESHOLD[1]} * least(n_a, n_b) >= {THRESHOLD[0]} * greatest(n_a, n_b)")
-        return spool(_verify(near.select("a", "b"), texts), "near-links")
-
     texts = _texts(docs, signed, members.select("node").distinct(), text_col)
-    found = links(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), texts)
-    roots = components(found)
-    # what the smallest nodes of the buckets have left open
-    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    sizes = spool(placed.groupBy("bucket", "root").count(), "near-sizes")
-    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "largest")
-    open_ = spool(placed.join(largest, "bucket"), "near-open")
-    left = open_.where("root != largest").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    pairs = left.join(open_, "bucket").where("root != root_a AND (root = largest OR a < node)").select("a", F.col("node").alias("b")).distinct()
-    pairs = spool(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    if not pairs.isEmpty():
-        more = links(pairs, texts)
-        roots = components(found.unionByName(more)) if not more.isEmpty() else roots
+    tested: list[DataFrame] = []
+    found: list[DataFrame] = []
+    some, all_ = THRESHOLD
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        """Components after the pairs (a, b) that were not tested before are."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = spool(pairs, "near-pairs")
+        tested.append(pairs)
+        near = pairs.join(n_of("a"), "a").join(n_of("b"), "b").where(f"{all_} * least(n_a, n_b) >= {some} * greatest(n_a, n_b)")
+        found.append(spool(_verify(near.select("a", "b"), texts), "near-links"))
+        return components(reduce(DataFrame.unionByName, found))
+
+    def still_open(roots: DataFrame) -> DataFrame:
+        """(bucket, node, root, largest) of buckets with several components."""
+        placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        sizes = placed.groupBy("bucket", "root").count()
+        several = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        return spool(placed.join(spool(several.select("bucket", "largest"), "near-several"), "bucket"), "near-open")
+
+    roots = meet(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    open_ = still_open(roots)
+    if not open_.isEmpty():
+        nodes_open = spool(open_.select("node").distinct(), "near-open-nodes")
+        bound = _shared(texts, nodes_open).join(n_of("node"), "node").select("node", F.col("n_node").alias("n"), (F.col("n_node") - F.col("alone")).alias("k"))
+        # a node can be like another only if its share of shingles that occur elsewhere allows it
+        bound = spool(bound.where(f"{all_} * k >= {some} * n"), "near-bounds")
+        open_ = spool(open_.join(bound, "node"), "near-open")
+        hubs = spool(open_.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.struct((F.col("n") - F.col("k")) / F.col("n"), "node")).alias("hub")), "near-hubs")
+        met = open_.join(hubs, "bucket").where("root != hub.root").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+        roots = meet(met)
+        open_ = still_open(roots).join(bound, "node")
+        left = open_.where("root != largest").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"))
+        allowed = f"{all_} * least(k_a, k) >= {some} * (n_a + n - least(k_a, k))"
+        pairs = left.join(open_, "bucket").where(f"root != root_a AND (root = largest OR a < node) AND {allowed}").select("a", F.col("node").alias("b"))
+        roots = meet(pairs)
     rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     rows_ = spool(signed.select("rid", "doc_id", "same").join(rooted, "same").select("rid", "doc_id", "root"), "near-rooted")
     heads = spool(rows_.groupBy("root").agg(F.min(first).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")
     return rows_.join(heads, "root").select("rid", "doc_id", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("head.rid")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but the smallest id of each class."""
+    rows = spool(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    dropped = spool(classes(rows, id_col, text_col, row_col="__row").where("NOT kept").select(F.col("rid").alias("__row")), "near-dropped")
+    rows = maybe_in(rows, dropped, "__row")
+    sure = rows.where("NOT __maybe").select(*docs.columns)
+    return sure.unionByName(rows.where("__maybe").join(dropped, "__row", "left_anti").select(*docs.columns))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
