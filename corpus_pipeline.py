@@ -1,15 +1,62 @@
-"""A corpus pipeline of five stages; each reads what the one before it wrote."""
+"""A corpus pipeline of five stages; each reads what the one before it wrote.
+
+Toxic documents go, then exact copies, then near copies; what is left gets surrogates for personal data and is
+packed to sequences. All stages but the last return the columns of documents, and each passes on every row its decisions keep.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import exact_dedup, near_dedup, packing, pii, toxicity
+from graphloom.llm.common import documents, shared_dir
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the toxicity score predicts to be toxic."""
+    scored = toxicity.score(docs, documents(spark, sf_dir, "labels"), keep=_fields(docs, "doc_id"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of equal texts."""
+    fields = _fields(docs, "doc_id")
+    kept = exact_dedup.dedup(docs, carry=fields).where("kept")
+    return kept.select(*[F.col(c if c == "doc_id" else f"in_{c}").alias(c) for c in docs.columns])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that with the smallest id, of each class of near copies."""
+    return near_dedup.keep_one(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and secrets in the texts."""
+    replaced = pii.replace(docs).drop("n_entities")
+    return replaced.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else replaced
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+def _fields(docs: DataFrame, *without: str) -> list[str]:
+    return [c for c in docs.columns if c not in without]
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", packed)]
+ORACLE_SQL = None  # SQL can express neither the toxicity score nor the tokens
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after the other, each written as Parquet and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/graphloom-pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

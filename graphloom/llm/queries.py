@@ -10,7 +10,8 @@ from graphloom.llm.near_dedup import op9_near_dedup
 from graphloom.llm.outliers import op7_outliers
 from graphloom.llm.packing import op10_packing
 from graphloom.llm.pii import op5_pii
+from graphloom.llm.quality import op6_quality
 from graphloom.llm.toxicity import op2_toxicity
 
-QUERIES = {"op1_hmm_lm": op1_hmm_lm, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_pii": op5_pii, "op7_outliers": op7_outliers, "op8_chat": op8_chat, "op9_near_dedup": op9_near_dedup, "op10_packing": op10_packing}
+QUERIES = {"op1_hmm_lm": op1_hmm_lm, "op2_toxicity": op2_toxicity, "op3_bpe": op3_bpe, "op4_exact_dedup": op4_exact_dedup, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_outliers": op7_outliers, "op8_chat": op8_chat, "op9_near_dedup": op9_near_dedup, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL}
