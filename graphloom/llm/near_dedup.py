@@ -193,7 +193,7 @@ def _shared(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, k): how many of its shingles at least one other of ``nodes`` has too."""
 
     def explode(batches):
-        for b in batches:
+        for b in (whole.slice(i, 200) for whole in batches for i in range(0, whole.num_rows, 200)):  # small batches: each text makes many rows
             sets = [ranked_set(t.split()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))], names=["h", "node"])
 
