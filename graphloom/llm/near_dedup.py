@@ -9,11 +9,12 @@ than the latest register.
 
 Registers are banded. Texts with the same words are one node first. In each bucket all nodes meet the
 smallest one; components of the verified links follow. Nodes of buckets that still hold several components are
-looked at again. Of each, the shingles that no other such node has are counted; they bound its similarity to any other
-from above. In every such bucket the node with the smallest share of them, the one nearest to what the others were copied from, meets all
-others. In buckets that are open even then, every node outside the largest component meets those nodes of other
-components that the bounds allow to be alike. After that, no pair of a bucket is untested whose link could matter. Links are
-verified by the exact multiset overlap of whole texts.
+looked at again. In every such bucket the node with the smallest share of shingles that no other such node has, the one
+nearest to what the others were copied from, meets all others. In buckets that are open even then, every node outside
+the largest component is searched by its rarest shingles: a text like it can miss only so many of its shingles, so it holds
+one of the rarest ones, one more than those (the exact prefix filter). After that, no pair of a bucket is untested whose link could
+matter, and no step makes more than a few rows for each member of a bucket. Links are verified by the exact multiset overlap of
+whole texts.
 
 Defined cases: a text of one to four words is one shingle; texts without words (null too) are alike; null ids
 are larger than all others; repeated rows are one node; columns other than id and text are ignored.
@@ -26,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
@@ -189,17 +190,28 @@ def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str)
     return spool(maybe.join(wanted, "same").groupBy("node").agg(F.first("t").alias("t")), "near-texts")
 
 
-def _shared(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, k): how many of its shingles at least one other of ``nodes`` has too."""
+def _shingle_rows(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(h, node) of every shingle of ``nodes``, equal ones of a text told apart."""
 
     def explode(batches):
         for b in (whole.slice(i, 200) for whole in batches for i in range(0, whole.num_rows, 200)):  # small batches: each text makes many rows
             sets = [ranked_set(t.split()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))], names=["h", "node"])
 
-    own = maybe_in(texts, nodes, "node").where("__maybe").select("node", "t").mapInArrow(explode, "h long, node long").join(nodes, "node", "left_semi")
-    alone = own.groupBy("h").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    return nodes.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+    wanted = maybe_in(texts, nodes, "node").where("__maybe").select("node", "t")
+    return spool(wanted.mapInArrow(explode, "h long, node long").join(nodes, "node", "left_semi"), "near-shingles")
+
+
+def _prefix_pairs(own: DataFrame, often: DataFrame, sizes: DataFrame, some_nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) of other components for ``some_nodes`` (node, root): b holds one of a's rarest shingles, early enough in rarity to be alike."""
+    some, all_ = THRESHOLD
+    rows = own.join(some_nodes, "node", "left_semi").join(often.select("h", "f"), "h")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "h")) - 1
+    prefix = rows.withColumn("i", rank).join(some_nodes, "node").join(sizes, "node").where(f"f > 1 AND {all_} * i <= {all_ - some} * n")
+    prefix = spool(prefix.select("h", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), "i"), "near-prefixes")
+    others = maybe_in(own, prefix.select("h").distinct(), "h").where("__maybe").select("h", "node").join(sizes, "node").join(roots, "node", "left").select("h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.coalesce("root", "node").alias("root_b"))
+    allowed = f"{some + all_} * (n_a - i) >= {some} * (n_a + n_b) AND {all_} * n_b >= {some} * n_a"
+    return prefix.join(others, "h").where(f"root_a != root_b AND {allowed}").select("a", "b")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, row_col: str | None = None) -> DataFrame:
@@ -241,18 +253,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     open_ = still_open(roots)
     if not open_.isEmpty():
         nodes_open = spool(open_.select("node").distinct(), "near-open-nodes")
-        bound = _shared(texts, nodes_open).join(n_of("node"), "node").select("node", F.col("n_node").alias("n"), (F.col("n_node") - F.col("alone")).alias("k"))
+        own = _shingle_rows(texts, nodes_open)
+        often = spool(own.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.min("node").alias("one")), "near-often")
+        alone = often.where("f = 1").groupBy(F.col("one").alias("node")).agg(F.count(F.lit(1)).alias("alone"))
+        bound = n_of("node").join(nodes_open, "node", "left_semi").join(alone, "node", "left").select("node", F.col("n_node").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone"))
         # a node can be like another only if its share of shingles that occur elsewhere allows it
-        bound = spool(bound.where(f"{all_} * k >= {some} * n"), "near-bounds")
-        open_ = spool(open_.join(bound, "node"), "near-open")
-        hubs = spool(open_.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.struct((F.col("n") - F.col("k")) / F.col("n"), "node")).alias("hub")), "near-hubs")
-        met = open_.join(hubs, "bucket").where("root != hub.root").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-        roots = meet(met)
-        open_ = still_open(roots).join(bound, "node")
-        left = open_.where("root != largest").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"))
-        allowed = f"{all_} * least(k_a, k) >= {some} * (n_a + n - least(k_a, k))"
-        pairs = left.join(open_, "bucket").where(f"root != root_a AND (root = largest OR a < node) AND {allowed}").select("a", F.col("node").alias("b"))
-        roots = meet(pairs)
+        bound = spool(bound.where(f"{all_} * (n - alone) >= {some} * n"), "near-bounds")
+        open_ = open_.join(bound, "node")
+        hubs = spool(open_.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.struct(F.col("alone") / F.col("n"), "node")).alias("hub")), "near-hubs")
+        roots = meet(open_.join(hubs, "bucket").where("root != hub.root").select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
+        left = spool(still_open(roots).where("root != largest").select("node", "root").distinct().join(bound, "node", "left_semi"), "near-left")
+        if not left.isEmpty():
+            roots = meet(_prefix_pairs(own, often, bound.select("node", "n"), left, roots))
     rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     rows_ = spool(signed.select("rid", "doc_id", "same").join(rooted, "same").select("rid", "doc_id", "root"), "near-rooted")
     heads = spool(rows_.groupBy("root").agg(F.min(first).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")
