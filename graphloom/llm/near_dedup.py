@@ -8,13 +8,11 @@ with the probability of their weighted Jaccard similarity. Points are drawn in r
 than the latest register.
 
 Registers are banded. Texts with the same words are one node first. In each bucket all nodes meet the
-smallest one; components of the verified links follow. Nodes of buckets that still hold several components are
-looked at again. In every such bucket the node with the smallest share of shingles that no other such node has, the one
-nearest to what the others were copied from, meets all others. In buckets that are open even then, every node outside
-the largest component is searched by its rarest shingles: a text like it can miss only so many of its shingles, so it holds
-one of the rarest ones, one more than those (the exact prefix filter). After that, no pair of a bucket is untested whose link could
-matter, and no step makes more than a few rows for each member of a bucket. Links are verified by the exact multiset overlap of
-whole texts.
+smallest one; components of the verified links follow. In buckets that still hold several components, every node outside the
+largest one is held against all nodes of other components by an exact filter: each text has a map of 1024 bits, in which every
+shingle flips one, and two maps differ in no more bits than the texts do in shingles. Only pairs that pass it become
+rows, which are then few more than the links; no pair of a bucket whose link could matter is left out. Links are verified by
+the exact multiset overlap of whole texts.
 
 Defined cases: a text of one to four words is one shingle; texts without words (null too) are alike; null ids
 are larger than all others; repeated rows are one node; columns other than id and text are ignored.
@@ -23,11 +21,10 @@ are larger than all others; repeated rows are one node; columns other than id an
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
@@ -39,6 +36,7 @@ WIDTH = 5
 BANDS, ROWS = 28, 6  # at similarity 0.8, 0.9998 of the pairs share a bucket
 THRESHOLD = (4, 5)  # overlap of at least 4/5 of the union
 BATCH = 1_000_000  # words of a numpy batch
+MAP = 1024  # bits of a text's parity map
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,6 +113,14 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def parity_maps(sh: np.ndarray, doc: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+    """texts x MAP / 64 words: each shingle, equal ones told apart as by ``ranked_set``, flips one bit of its text's map."""
+    rank = np.arange(int(weight.sum())) - np.repeat(np.concatenate(([0], np.cumsum(weight)))[:-1], weight)
+    h = _mix(np.repeat(sh, weight) + rank.astype(np.uint64) * _K)
+    flips = np.bincount(np.repeat(doc, weight) * MAP + (h >> np.uint64(64 - MAP.bit_length() + 1)).astype(np.int64), minlength=texts * MAP)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(texts, MAP // 64)
+
+
 def ranked_set(words: list[bytes]) -> np.ndarray:
     """The multiset of a text's shingles as a sorted set: the i-th of equal shingles is told from the others."""
     sh = np.sort(shingles([words])[0])
@@ -131,25 +137,27 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, row_col: str | None = None) -> DataFrame:
-    """(rid, doc_id, same, n, bands): row number, id, digest of the words, shingles, band keys."""
-    shape = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(rid, doc_id, same, n, bits, bands): row number, id, digest of the words, shingles, their parity map, band keys."""
+    shape = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
             texts, at = b.column("t"), 0
             while at < b.num_rows:
                 words, size, first = [], 0, at
-                while at < b.num_rows and size < BATCH:
+                while at < b.num_rows and size < BATCH and len(words) < 2000:
                     words.append(texts[at].as_py().split())
                     size += len(words[-1])
                     at += 1
                 sh, doc = shingles(words)
                 count = np.bincount(doc, minlength=len(words))
-                keys = band_keys(bag_min_hash(*weighted(sh, doc), len(words), bands * rows), bands, rows)
+                bag = weighted(sh, doc)
+                keys = band_keys(bag_min_hash(*bag, len(words), bands * rows), bands, rows)
+                maps = pa.FixedSizeListArray.from_arrays(parity_maps(*bag, len(words)).ravel(), MAP // 64).cast(pa.list_(pa.int64()))
                 same = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
                 used = np.flatnonzero(count)
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.where(count > 0, bands, 0)))).astype(np.int32), keys[used].ravel())
-                yield pa.RecordBatch.from_arrays([b.column("rid").slice(first, len(words)), b.column("doc_id").slice(first, len(words)), pa.array(same, pa.binary()), pa.array(count), lists], names=shape.names)
+                yield pa.RecordBatch.from_arrays([b.column("rid").slice(first, len(words)), b.column("doc_id").slice(first, len(words)), pa.array(same, pa.binary()), pa.array(count), maps, lists], names=shape.names)
 
     rid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     return docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).mapInArrow(run, shape)
@@ -190,28 +198,9 @@ def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str)
     return spool(maybe.join(wanted, "same").groupBy("node").agg(F.first("t").alias("t")), "near-texts")
 
 
-def _shingle_rows(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(h, node) of every shingle of ``nodes``, equal ones of a text told apart."""
-
-    def explode(batches):
-        for b in (whole.slice(i, 200) for whole in batches for i in range(0, whole.num_rows, 200)):  # small batches: each text makes many rows
-            sets = [ranked_set(t.split()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))], names=["h", "node"])
-
-    wanted = maybe_in(texts, nodes, "node").where("__maybe").select("node", "t")
-    return spool(wanted.mapInArrow(explode, "h long, node long").join(nodes, "node", "left_semi"), "near-shingles")
-
-
-def _prefix_pairs(own: DataFrame, often: DataFrame, sizes: DataFrame, some_nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) of other components for ``some_nodes`` (node, root): b holds one of a's rarest shingles, early enough in rarity to be alike."""
-    some, all_ = THRESHOLD
-    rows = own.join(some_nodes, "node", "left_semi").join(often.select("h", "f"), "h")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "h")) - 1
-    prefix = rows.withColumn("i", rank).join(some_nodes, "node").join(sizes, "node").where(f"f > 1 AND {all_} * i <= {all_ - some} * n")
-    prefix = spool(prefix.select("h", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), "i"), "near-prefixes")
-    others = maybe_in(own, prefix.select("h").distinct(), "h").where("__maybe").select("h", "node").join(sizes, "node").join(roots, "node", "left").select("h", F.col("node").alias("b"), F.col("n").alias("n_b"), F.coalesce("root", "node").alias("root_b"))
-    allowed = f"{some + all_} * (n_a - i) >= {some} * (n_a + n_b) AND {all_} * n_b >= {some} * n_a"
-    return prefix.join(others, "h").where(f"root_a != root_b AND {allowed}").select("a", "b")
+#: At most so many shingles, and so many bits of the maps, differ between texts of n_a and n_b shingles that are alike.
+_FEW_BITS = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(MAP // 64))
+MAY_BE_ALIKE = f"{THRESHOLD[1]} * least(n_a, n_b) >= {THRESHOLD[0]} * greatest(n_a, n_b) AND {sum(THRESHOLD)} * ({_FEW_BITS}) <= {THRESHOLD[1] - THRESHOLD[0]} * (n_a + n_b)"
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, row_col: str | None = None) -> DataFrame:
@@ -222,49 +211,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     signed = spool(sign(docs, id_col, text_col, bands, rows, row_col), "near-signed")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     nodes = spool(signed.groupBy("same").agg(F.min("rid").alias("node")), "near-nodes")
-    n_of = lambda as_: signed.select(F.col("rid").alias(as_), F.col("n").alias(f"n_{as_}"))
     members = signed.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.explode("bands").alias("bucket"), F.col("rid").alias("node"))
     buckets = spool(members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "pivot"), "near-buckets")
     members = spool(members.join(buckets, "bucket"), "near-members")
     texts = _texts(docs, signed, members.select("node").distinct(), text_col)
-    tested: list[DataFrame] = []
-    found: list[DataFrame] = []
-    some, all_ = THRESHOLD
-
-    def meet(pairs: DataFrame) -> DataFrame:
-        """Components after the pairs (a, b) that were not tested before are."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = spool(pairs, "near-pairs")
-        tested.append(pairs)
-        near = pairs.join(n_of("a"), "a").join(n_of("b"), "b").where(f"{all_} * least(n_a, n_b) >= {some} * greatest(n_a, n_b)")
-        found.append(spool(_verify(near.select("a", "b"), texts), "near-links"))
-        return components(reduce(DataFrame.unionByName, found))
-
-    def still_open(roots: DataFrame) -> DataFrame:
-        """(bucket, node, root, largest) of buckets with several components."""
-        placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        sizes = placed.groupBy("bucket", "root").count()
-        several = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        return spool(placed.join(spool(several.select("bucket", "largest"), "near-several"), "bucket"), "near-open")
-
-    roots = meet(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    open_ = still_open(roots)
-    if not open_.isEmpty():
-        nodes_open = spool(open_.select("node").distinct(), "near-open-nodes")
-        own = _shingle_rows(texts, nodes_open)
-        often = spool(own.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.min("node").alias("one")), "near-often")
-        alone = often.where("f = 1").groupBy(F.col("one").alias("node")).agg(F.count(F.lit(1)).alias("alone"))
-        bound = n_of("node").join(nodes_open, "node", "left_semi").join(alone, "node", "left").select("node", F.col("n_node").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone"))
-        # a node can be like another only if its share of shingles that occur elsewhere allows it
-        bound = spool(bound.where(f"{all_} * (n - alone) >= {some} * n"), "near-bounds")
-        open_ = open_.join(bound, "node")
-        hubs = spool(open_.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.struct(F.col("alone") / F.col("n"), "node")).alias("hub")), "near-hubs")
-        roots = meet(open_.join(hubs, "bucket").where("root != hub.root").select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
-        left = spool(still_open(roots).where("root != largest").select("node", "root").distinct().join(bound, "node", "left_semi"), "near-left")
-        if not left.isEmpty():
-            roots = meet(_prefix_pairs(own, often, bound.select("node", "n"), left, roots))
+    of = lambda x: signed.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+
+    first_pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    near = first_pairs.join(of("a"), "a").join(of("b"), "b").where(MAY_BE_ALIKE).select("a", "b")
+    found = spool(_verify(near, texts), "near-links")
+    roots = components(found)
+    # what the smallest nodes of the buckets have left open
+    placed = spool(members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "near-placed")
+    sizes = placed.groupBy("bucket", "root").count()
+    several = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    open_ = spool(placed.join(spool(several.select("bucket", "largest"), "near-several"), "bucket").join(of("node"), "node"), "near-open")
+    side = lambda x: open_.select("bucket", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_node").alias(f"n_{x}"), F.col("bits_node").alias(f"bits_{x}"), "largest")
+    left = side("a").where("root_a != largest").drop("largest")
+    pairs = left.join(side("b"), "bucket").where(f"root_a != root_b AND (root_b = largest OR a < b) AND {MAY_BE_ALIKE}")
+    pairs = spool(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    if not pairs.isEmpty():
+        more = spool(_verify(pairs, texts), "near-links")
+        roots = components(found.unionByName(more)) if not more.isEmpty() else roots
     rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     rows_ = spool(signed.select("rid", "doc_id", "same").join(rooted, "same").select("rid", "doc_id", "root"), "near-rooted")
     heads = spool(rows_.groupBy("root").agg(F.min(first).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")

@@ -49,6 +49,21 @@ def test_signature_is_unbiased(seed):
     assert np.isfinite(sig[:3]).all() and np.isinf(sig[3]).all() and (sig[2] == sig[0]).mean() == 0
 
 
+def test_parity_maps_never_overstate():
+    r = random.Random(5)
+    for _ in range(50):
+        a = [f"w{r.randrange(30)}" for _ in range(r.randrange(0, 200))]
+        b = list(a)
+        for _ in range(r.randrange(0, 30)):
+            if b:
+                b[r.randrange(len(b))] = f"w{r.randrange(60)}"
+        words = [[w.encode() for w in a], [w.encode() for w in b]]
+        sh, doc = nd.shingles(words)
+        m = nd.parity_maps(*nd.weighted(sh, doc), 2).view(np.uint64)
+        x, y = (set(nd.ranked_set(w).tolist()) for w in words)
+        assert sum(bin(int(u)).count("1") for u in m[0] ^ m[1]) <= len(x ^ y)
+
+
 def test_ranked_set_counts_multisets():
     a, b = "x x x x x x x y".split(), "x x x x x x y".split()
     got = nd.alike(nd.ranked_set([w.encode() for w in a]), nd.ranked_set([w.encode() for w in b]))
