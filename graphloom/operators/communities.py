@@ -74,16 +74,18 @@ def _level(edges: DataFrame, k: DataFrame, m: int, resolution: float, rounds: in
         total = at.groupBy("c").agg(F.sum("k").alias("total"))
         links = near.join(at.select(F.col("id").alias("other"), F.col("c").alias("to")), "other").groupBy("id", "to").agg(F.sum("w").alias("k_in"))
         own = at.select("id", F.col("c").alias("to"), F.lit(0.0).alias("k_in"))  # staying is always an option
-        options = links.unionByName(own).groupBy("id", "to").agg(F.sum("k_in").alias("k_in")).join(at, "id").join(total.withColumnRenamed("c", "to"), "to")
-        rest = F.col("total") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
+        alone = at.select("id", F.concat("id", F.lit(f"\x1e{r}")).alias("to"), F.lit(0.0).alias("k_in"))  # so is leaving for a community of one's own
+        options = links.unionByName(own).unionByName(alone).groupBy("id", "to").agg(F.sum("k_in").alias("k_in")).join(at, "id").join(total.withColumnRenamed("c", "to"), "to", "left")
+        rest = F.coalesce("total", F.lit(0.0)) - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
         gain = F.col("k_in") / m - resolution * F.col("k") * rest / (2.0 * m * m)
         best = options.withColumn("gain", gain).groupBy("id").agg(F.max(F.struct("gain", (F.col("to") == F.col("c")).alias("stay"), "to")).alias("best"), F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("now"))
-        turn = F.pmod(F.xxhash64("id", F.lit(1000 * level + r)), F.lit(2)) == 0
+        # in each two rounds every vertex has one turn; who moves with whom changes from pair to pair
+        turn = F.pmod(F.xxhash64("id", F.lit(1000 * level + r // 2)) + r, F.lit(2)) == 0
         moved = turn & (F.col("best.gain") > F.col("now") + 1e-12)
         step = cut(at.join(best, "id").select("id", "k", F.when(moved, F.col("best.to")).otherwise(F.col("c")).alias("c"), moved.alias("moved")), "louvain-at")
         at = step.drop("moved")
-        still = still + 1 if step.where("moved").limit(1).isEmpty() else 0
-        if still == 2:
+        still = (still if r % 2 else 0) + step.where("moved").limit(1).isEmpty()
+        if r % 2 and still == 2:
             break
     # names of communities that others have left must still be members' names
     least = at.groupBy("c").agg(F.min("id").alias("root"))

@@ -58,10 +58,10 @@ def pair_features(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
 def graph_features(graph: Graph) -> DataFrame:
     """One row: counts, densities, clustering, components, degree moments, assortativity, diameter and radius of the undirected graph."""
     n, m = graph.node_count(), graph.edge_count()
-    d = degrees(graph).agg(F.avg("degree"), F.var_pop("degree"), F.skewness("degree"), F.kurtosis("degree")).first()
+    d = degrees(graph).agg(F.avg("degree"), F.var_pop("degree"), F.when(F.stddev_pop("degree") > 0, F.skewness("degree")), F.when(F.stddev_pop("degree") > 0, F.kurtosis("degree"))).first()
     deg = degrees(graph).select("node_id", "degree")
     ends = graph.edges.select("source", "target").unionByName(graph.edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    r = ends.join(deg.select(F.col("node_id").alias("source"), F.col("degree").alias("x")), "source").join(deg.select(F.col("node_id").alias("target"), F.col("degree").alias("y")), "target").agg(F.corr("x", "y")).first()[0]
+    r = ends.join(deg.select(F.col("node_id").alias("source"), F.col("degree").alias("x")), "source").join(deg.select(F.col("node_id").alias("target"), F.col("degree").alias("y")), "target").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).first()[0]
     sizes = component_sizes(weakly_connected_components(graph)).agg(F.count(F.lit(1)), F.max("size")).first()
     e = path_features(graph).agg(F.max("eccentricity"), F.min("eccentricity"), F.avg("mean_path")).first()
     row = (
@@ -93,6 +93,6 @@ def core_numbers(graph: Graph, max_core: int | None = None) -> DataFrame:
 def correlated(features: DataFrame, columns: list[str], least: float = 0.8) -> DataFrame:
     """(a, b, correlation) of columns that correlate by more than ``least``; 0 where one does not vary."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
-    r = features.agg(*[F.coalesce(F.corr(a, b), F.lit(0.0)).alias(f"{a}\x1f{b}") for a, b in pairs]).first()
+    r = features.agg(*[F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0)).alias(f"{a}\x1f{b}") for a, b in pairs]).first()
     rows = [(*sorted(p), float(x)) for p, x in zip(pairs, r) if abs(x) > least]
     return features.sparkSession.createDataFrame(rows, "a string, b string, correlation double")

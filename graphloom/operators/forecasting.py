@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from graphloom.errors import check_number
 
 
+def _corr(x: str, y: str) -> Column:
+    """Pearson correlation; null where one side does not vary."""
+    n, varies = F.stddev_pop(x) * F.stddev_pop(y), F.covar_pop(x, y)
+    return F.try_divide(varies, n)
+
+
 def indexed(series: DataFrame) -> DataFrame:
     """Adds i, the place of a row in its metric's series, from 0."""
     return series.withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("ts")) - 1)
@@ -17,7 +23,7 @@ def trends(series: DataFrame) -> DataFrame:
     """(metric, n, slope, correlation, r2, volatility, mean, recent_change, direction): least squares on the index."""
     s = indexed(series)
     by = s.groupBy("metric").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.regr_slope("value", "i"), F.lit(0.0)).alias("slope"), F.coalesce(F.corr("value", "i"), F.lit(0.0)).alias("correlation"), F.coalesce(F.regr_r2("value", "i"), F.lit(0.0)).alias("r2"),
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.regr_slope("value", "i"), F.lit(0.0)).alias("slope"), F.coalesce(_corr("value", "i"), F.lit(0.0)).alias("correlation"), F.coalesce(_corr("value", "i") * _corr("value", "i"), F.lit(0.0)).alias("r2"),
         F.stddev_pop("value").alias("volatility"), F.avg("value").alias("mean"), F.min_by("value", "i").alias("first"), F.max_by("value", "i").alias("last"),
     )
     flat = F.when(F.col("volatility") > 0.1 * F.abs("mean"), "volatile").otherwise("stable")
@@ -119,7 +125,7 @@ def lagged_correlation(series: DataFrame, max_lag: int = 5, least: float = 0.5)
     s = indexed(series).select("metric", "i", "value")
     cause = s.select(F.col("metric").alias("cause"), F.col("value").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"), "i").withColumn("i", F.col("i") + F.col("lag"))
     met = cause.join(s.select(F.col("metric").alias("effect"), "i", F.col("value").alias("y")), "i").where("cause != effect")
-    by = met.groupBy("cause", "effect", "lag").agg(F.abs(F.corr("x", "y")).alias("strength"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= 3) & (F.col("strength") > least))
+    by = met.groupBy("cause", "effect", "lag").agg(F.abs(_corr("x", "y")).alias("strength"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= 3) & (F.col("strength") > least))
     best = by.groupBy("cause", "effect").agg(F.max_by(F.struct("lag", "strength"), F.struct("strength", -F.col("lag"))).alias("b"))
     return best.select("cause", "effect", "b.lag", "b.strength")
 
