@@ -42,7 +42,7 @@ LOOK, DROP_SIGN, DROP_SEPARATOR, DROP_THIRD, DROP_DOUBLE, STAR, JOIN, BREAK = 1.
 SPACED = re.compile(rb"(?<!\S)(?:[a-z0-9@$!|+*][ \t._-]+){2,}[a-z0-9@$!|+*](?![^\s.,!?;:])")
 EDGES = re.compile(r"^[^a-z0-9@$!|+(À-￿]+|[^a-z0-9À-￿]+$")
 DISGUISED = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!|+(*_~^`].*|.*(.)\1\1.*|.*[a-z][.\-/'][a-z].*)", re.S)
-MEMORY = 400_000
+MEMORY = 300_000
 STEMS = (4, 5, 6, 7, 8)
 MOST_FEATURES = 8192
 MOST_STEPS = 240
@@ -150,7 +150,7 @@ class Reader(dict):
             got = tuple(f for w in words for f in features(w))
         else:  # the strongest feature of each word, if one has a weight
             got = tuple((f, x) for w in words if (known := [(self.weights[f], f) for f in features(w) if f in self.weights]) for x, f in [max(known)])
-        if len(self) >= MEMORY:
+        if len(self) >= (MEMORY if self.weights is not None else MEMORY // 8):  # lists of all features are much longer
             self.clear()
         if len(token) <= 64:
             self[token] = got
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held[toxic > 0].update({f for fs in map(reader.__getitem__, set(reader.tokens(t))) for f in fs})
-                if len(held[0]) + len(held[1]) > MEMORY:
+                if len(held[0]) + len(held[1]) > MEMORY // 2:
                     yield rows()
                     held = Counter(), Counter()
         yield rows()
@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for t in b.column(0).to_pylist():
                 tokens = [b"", *reader.tokens(t)]
                 seen.update((f, before) for before, token in zip(tokens, tokens[1:]) for f in reader[token] if f in wanted)
-            if len(seen) > MEMORY:
+            if len(seen) > MEMORY // 2:
                 yield batch_of(pairs, list(zip(*seen)))
                 seen = set()
         if seen:
