@@ -225,10 +225,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     placed = spool(members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "near-placed")
     sizes = placed.groupBy("bucket", "root").count()
     several = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = spool(placed.join(spool(several.select("bucket", "largest"), "near-several"), "bucket").join(of("node"), "node"), "near-open")
-    side = lambda x: open_.select("bucket", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_node").alias(f"n_{x}"), F.col("bits_node").alias(f"bits_{x}"), "largest")
+    open_ = placed.join(spool(several.select("bucket", "largest"), "near-several"), "bucket")
+    open_ = spool(open_.join(signed.select(F.col("rid").alias("node"), "n", "bits", "bands"), "node"), "near-open")
+    side = lambda x: open_.select("bucket", "largest", *[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "root", "n", "bits", "bands")])
     left = side("a").where("root_a != largest").drop("largest")
-    pairs = left.join(side("b"), "bucket").where(f"root_a != root_b AND (root_b = largest OR a < b) AND {MAY_BE_ALIKE}")
+    once = "array_intersect(bands_a, bands_b)[0] = bucket"  # in the first bucket that both are in
+    pairs = left.join(side("b"), "bucket").where(f"root_a != root_b AND (root_b = largest OR a < b) AND {MAY_BE_ALIKE} AND {once}")
     pairs = spool(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     if not pairs.isEmpty():
         more = spool(_verify(pairs, texts), "near-links")
