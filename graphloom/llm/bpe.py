@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from graphloom.llm.common import documents, text_bytes
 
 VOCABULARY = "word_bpe_49k.json"
-MEMORY = 400_000
+MEMORY = 300_000
 #: Fixed values of the tokenizer file: what counts as one pre-token, after lower-casing.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 

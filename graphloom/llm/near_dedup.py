@@ -35,7 +35,7 @@ from graphloom.llm.components import components
 WIDTH = 5
 BANDS, ROWS = 28, 6  # at similarity 0.8, 0.9998 of the pairs share a bucket
 THRESHOLD = (4, 5)  # overlap of at least 4/5 of the union
-BATCH = 1_000_000  # words of a numpy batch
+BATCH = 300_000  # words of a numpy batch
 MAP = 1024  # bits of a text's parity map
 
 _K = np.uint64(0x9E3779B97F4A7C15)
