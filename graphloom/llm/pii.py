@@ -1,11 +1,12 @@
 """Surrogates for personal data and secrets, in DataFrame operations only.
 
 One pattern finds e-mail addresses, telephone numbers, IPv4 addresses, card numbers, access keys, passwords,
-tokens and names after a form of address. Each entity's replacement is a function of the key, the
+tokens and names after a form of address; later mentions of a name's words in the same document are replaced too, but not counted. Each entity's replacement is a function of the key, the
 kind and the entity: digits become digits and letters letters of the same case, separators stay, an IPv4
 address stays a valid one, a card number keeps its first digit and its Luhn remainder, a name takes a name of the
 same script and of the gender that the form of address tells, word by word (so that the same surname stays the same).
-Equal entities so get equal surrogates in all documents, with no table to look up.
+Equal entities so get equal surrogates in all documents, with no table to look up. A secret is found with its key
+(``password=``), which stays; a secret with fewer than six letters and digits gets a longer surrogate, so that enough of them exist.
 
 Collision check: the distinct entities of the whole corpus get their surrogates; where two of a kind share
 one, or one equals an entity that occurs, all but the smallest move to the next attempt, until none is
@@ -31,12 +32,24 @@ FEMALE = "Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra|Г-жа|Κυρία"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Κύριος"
 NEUTRAL = "Dr|Prof"
 EMAIL = r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)"
+_SEP = r"(?: ?\(|\)[ .-]?|[ ./-])?"
+_DATE = r"\d{2}[./-]\d{2}[./-]\d{2}(?:\d{2})?(?![./-]?\d)"
+_INTERNATIONAL = rf"(?<![\w+])\+(?:\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?[ .-]?\d{{3,4}}[ .-]?\d{{4}}(?!\d|[ .-]\d{{2}})|\d(?:{_SEP}\d){{6,14}}(?!\d))|(?<![\w+.,-])00[ -]?[1-9](?:{_SEP}\d){{7,13}}(?!\d)"
+_NATIONAL = rf"(?<![\w+.])(?:1[ .-])?(?:\([2-9]\d{{2}}\)[ .-]?|[2-9]\d{{2}}[ .-])\d{{3}}[ .-]\d{{4}}(?!\w|[.-]\d)|(?<![\w+.,/:-])(?!{_DATE})\(?0[1-9](?:{_SEP}\d){{7,10}}(?!\w|[ .:/-]\d)"
+PHONE = f"{_INTERNATIONAL}|{_NATIONAL}"
 IPV4 = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)"
-CARD = r"(?<![\w.-])\d(?:\d{15}|\d{3}(?:[ -]\d{4}){3})(?![\w]|[.-]\d)"
+_CARD = r"(?:\d(?:\d{15}|\d{3}(?:[ -]\d{4}){3})|(?:3[47]\d\d|2131|1800)(?:\d{11}|[ -]\d{6}[ -]\d{5})|3[0689]\d\d(?:\d{10}|[ -]\d{6}[ -]\d{4}))"
+CARD = rf"(?<![\w.-]){_CARD}(?!\w|[.-]\d)"
 ACCESS_KEY = r"\bAKIA[0-9A-Z]{16}\b"
-SECRET = r"(?<=password=)[0-9A-Za-z_]{6,}|(?<=(?:token|secret|api_key) = \")[0-9A-Za-z_]{8,}(?=\")"
-NAME = rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}])"
+_KEYWORD = r"(?iu:passw(?:or)?d|passwort|passphrase|passcode|kennwort|contraseña|пароль|pwd|token|secret|(?:api|access|secret|private|auth)[_ -]?key)"
+_KEY = rf"(?:{_KEYWORD}[\"']?\s{{0,3}}(?:=>|:=|={{1,3}}|:)\s{{0,3}}|(?i:bearer) (?=[\w.~+/-]{{16}}))"
+_BARE = r"[^\s\"'<&,;]"
+SECRET = rf"{_KEY}(?:\"(?=[^\"\r\n]*[\p{{L}}\p{{N}}])[^\"\r\n]++(?=\")|'(?=[^'\r\n]*[\p{{L}}\p{{N}}])[^'\r\n]++(?=')|(?=[^\s\"'<\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]){_BARE}++(?:[&,;](?!\w+[=:]){_BARE}++)*+)"
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’-]))(?:(?:-|['’](?!s(?!\p{L})))\p{L}[\p{L}\p{M}]*+)*+"
+_PARTICLE = "(?:van|von|der|den|de|del|della|la|las|los|le|di|da|dos|du|zu|ten|ter|bin|ibn|al|el) "
+_PART = rf"(?:{_PARTICLE}|\p{{Lu}}\. ){{0,5}}{_WORD}"
+NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.? {_PART}(?: {_PART}){{0,4}}(?!\p{{L}})"
+MENTION = rf"(?<![\p{{L}}\p{{M}}'’-]){_WORD}(?![\p{{L}}\p{{M}}])"
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, PHONE, IPV4, CARD, ACCESS_KEY, SECRET, NAME))
 
 #: Given names by script and gender, and syllables for surnames.
@@ -59,10 +72,11 @@ SYLLABLES = {
 def kind_of(v: Column) -> Column:
     return (
         F.when(v.rlike(rf"^(?:{FEMALE}|{MALE}|{NEUTRAL})\.? "), "name")
-        .when(F.contains(v, F.lit("@")), "email")
-        .when(v.startswith("+"), "phone")
+        .when(v.rlike(f"^(?:{SECRET})"), "secret")
+        .when(v.rlike(f"^(?:{EMAIL})$"), "email")
         .when(v.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ipv4")
-        .when(v.rlike(r"^\d(?:\d{15}|\d{3}(?:[ -]\d{4}){3})$"), "card")
+        .when(v.rlike(f"^{_CARD}$"), "card")
+        .when(v.rlike(f"^(?:{PHONE})$"), "phone")
         .when(v.rlike("^AKIA[0-9A-Z]{16}$"), "access_key")
         .otherwise("secret")
     )
@@ -100,7 +114,7 @@ def surrogate(v: Column, key: str, attempt: Column) -> Column:
     top = F.substring_index(domain, ".", -1)
     site = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
     email = F.concat(_like(local, seed), F.lit("@"), _like(site, part(site)), top)
-    country = F.regexp_extract(v, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
+    country = F.regexp_extract(v, r"^\+\d{1,3}(?=[ .(-])|^\+\d|^00[ -]?[1-9]\d?|^\(?0", 0)
     phone = F.concat(country, _like(F.substr(v, F.length(country) + 1), seed, digits="23456789"))
     ipv4 = F.array_join(F.transform(F.split(v, r"\."), lambda c, i: (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string")), ".")
     # a card number: first digit kept, last one sets the Luhn remainder to what it was
@@ -109,7 +123,13 @@ def surrogate(v: Column, key: str, attempt: Column) -> Column:
     last = F.pmod(_luhn(plain(v)) - _luhn(F.concat(plain(drawn), F.lit("0"))), F.lit(10))
     card = F.concat(drawn, last.cast("string"))
     access_key = F.concat(F.lit("AKIA"), F.array_join(F.transform(F.split(F.substr(v, F.lit(5)), ""), lambda c, i: _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", seed, i)), ""))
-    secret = _like(v, seed, hexadecimal=v.rlike("^[0-9a-f]*$"))
+    # a secret's surrogate depends on its value, not on how its key is written; other scripts' letters and digits become Latin letters
+    value = F.regexp_extract(v, rf"^{_KEY}[\"']?(.*)$", 1)
+    own = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("secret"), value, attempt.cast("string")).cast("binary"), 256)
+    latin = F.regexp_replace(value, r"(?![0-9A-Za-z])[\p{L}\p{N}]", "x")
+    long = F.length(F.regexp_replace(latin, "[^0-9A-Za-z]", "")) >= 6
+    drawn_value = _like(F.when(long, latin).otherwise("xxxxxxxxxxxx"), own, hexadecimal=long & value.rlike("^[0-9a-f]*$"))
+    secret = F.concat(F.substr(v, F.lit(1), F.length(v) - F.length(value)), drawn_value)
     words = F.split(v, " ")
     gender = F.when(v.rlike(rf"^(?:{FEMALE})\b"), "f").when(v.rlike(rf"^(?:{MALE})\b"), "m").otherwise("n")
 
@@ -121,9 +141,9 @@ def surrogate(v: Column, key: str, attempt: Column) -> Column:
                 given = F.when(gender == g, F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64(own, F.lit(0)), F.lit(len(names))) + 1).cast("int"))).otherwise(given)
             syllables = F.array(*map(F.lit, SYLLABLES[script]))
             surname = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.element_at(syllables, (F.pmod(F.xxhash64(own, k), F.lit(len(SYLLABLES[script]))) + 1).cast("int"))), ""))
-            return F.when((F.size(words) == 3) & (i == 1), given).otherwise(surname)
+            return F.when(w.rlike(r"^\p{Lu}\.$"), F.concat(F.substr(surname, F.lit(1), F.lit(1)), F.lit("."))).when((F.size(words) >= 3) & (i == 1), given).otherwise(surname)
 
-        return F.when(i == 0, w).when(w.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(w.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+        return F.when((i == 0) | F.concat(w, F.lit(" ")).rlike(f"^{_PARTICLE}$"), w).when(w.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(w.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
     kind = kind_of(v)
     name = F.array_join(F.transform(words, name_word), " ")
@@ -134,9 +154,30 @@ def entities(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def _rebuild(text: Column, replacements: Column) -> Column:
-    """The text with its entities, in order, replaced; what lies between them stays."""
-    return F.array_join(F.flatten(F.zip_with(F.split(text, PATTERN, -1), replacements, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+def _bind(value: Column, f) -> Column:
+    """f(value), with the value computed once although f's lambdas use it often."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _woven(text: Column, pattern: str, replacements: Column, between=lambda x: x) -> Column:
+    """The text with the matches of a pattern, in order, replaced."""
+    return F.array_join(F.flatten(F.zip_with(F.split(text, pattern, -1), replacements, lambda a, b: F.array(between(a), F.coalesce(b, F.lit(""))))), "")
+
+
+def _rebuild(text: Column, found: Column, replacements: Column) -> Column:
+    """The text with its entities, in order, replaced, and with them the words of its names where they stand alone; what else lies between them stays."""
+
+    def pairs(x: Column) -> Column:
+        words = F.transform(F.filter(F.arrays_zip(x["v"], x["s"]), lambda p: kind_of(p["v"]) == "name"), lambda p: F.slice(F.zip_with(F.split(p["v"], " "), F.split(p["s"], " "), lambda w, s: F.struct(w.alias("w"), s.alias("s"))), 2, 99))
+        return F.filter(F.flatten(words), lambda p: p["w"].rlike(f"^{_WORD}$"))
+
+    def mentions(piece: Column, known: Column) -> Column:
+        return _woven(piece, MENTION, F.transform(F.regexp_extract_all(piece, F.lit(MENTION), F.lit(0)), lambda m: F.coalesce(F.get(F.filter(known, lambda p: p["w"] == m), F.lit(0))["s"], m)))
+
+    def whole(x: Column) -> Column:
+        return _bind(pairs(x), lambda known: F.when(F.size(known) > 0, _woven(text, PATTERN, x["s"], lambda a: mentions(a, known))).otherwise(_woven(text, PATTERN, x["s"])))
+
+    return _bind(F.struct(found.alias("v"), replacements.alias("s")), whole)
 
 
 def exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -165,7 +206,7 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFram
     n = F.size("__e").cast("long").alias("n_entities")
 
     def rewritten(replacements: Column) -> list[Column]:
-        return [F.when(F.size("__e") > 0, _rebuild(text, replacements)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in columns]
+        return [F.when(F.size("__e") > 0, _rebuild(text, F.col("__e"), replacements)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in columns]
 
     inline = rewritten(F.transform("__e", lambda v: surrogate(v, key, F.lit(0))))
     if moved.isEmpty():

@@ -60,3 +60,42 @@ def test_collisions_move(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.replace(docs).count() == 0
+
+
+def test_other_spellings(spark):
+    """National telephone formats, spellings of secrets, longer names and their later mentions, 14- and 15-digit cards."""
+    private = {
+        "phone": ["(555) 123-4567", "555-123-4567", "+33 1 23 45 67 89", "+49 30 123456", "+44 (0)20 7946 0958", "0049 30 123456", "030 123456", "01.23.45.67.89", "0171/1234567", "1-800-555-1234"],
+        "secret": ["Password: x", "token=x", "PASSWORD = 'my pass word'", '"api_key": "q@7"', "DB_PASSWORD=пароль1", "Authorization: Bearer abcdefghij0123456789", "secret => Zz9,yy8"],
+        "card": ["378282246310005", "3782 822463 10005", "30569309025904"],
+    }
+    texts = [f"so {v} end" for vs in private.values() for v in vs]
+    got = _run(spark, texts)
+    for i, t in enumerate(texts):
+        assert got[i].n_entities == 1 and got[i].text != t, t
+        v = re.split(r"[:=>]+ ?|Bearer ", t.removeprefix("so ").removesuffix(" end"))[-1].strip("\"'")
+        assert v not in got[i].text.removeprefix("so ").removesuffix(" end").split("=")[-1] or len(v) == 1, t
+    assert len(got[len(private["phone"])].text) > len(texts[len(private["phone"])]) and got[0].text[3] == "("
+    for i in range(len(texts) - 3, len(texts)):
+        assert _luhn(got[i].text) == _luhn(texts[i])
+    clean = ["on 01.02.2023 12:30 or 2023-01-02, 12345 items, version 10.20.30", "no secret here, a token of thanks", "The Mr. is gone"]
+    kept = _run(spark, clean)
+    assert [kept[i].text for i in range(3)] == clean
+
+
+def test_whole_names_and_mentions(spark):
+    names = ["Mr. Juan Carlos Garcia", "Mrs. Anne-Marie Smith", "Dr. O'Brien", "Mr. McDonald", "Mrs. J. R. van der Berg"]
+    got = _run(spark, [*[f"Yes, {n} spoke." for n in names], "Mr. Juan Garcia came; Garcia's wife met Juan. Garcias and Smith stay.", "Garcia alone", "Mr. Garcia wrote bob@x.org. Ask Garcia"])
+    for i, n in enumerate(names):
+        assert not any(w in got[i].text for w in re.findall(r"[\w'-]{3,}", n.split(" ", 1)[1]) if w not in ("van", "der")), got[i].text
+        assert len(got[i].text.split()) == len(n.split()) + 2
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came; (\w+)'s wife met (\w+)\. Garcias and Smith stay\.", got[5].text)
+    assert m and m[2] == m[3] != "Garcia" and m[1] == m[4] != "Juan"
+    assert got[6].text == "Garcia alone"
+    m = re.fullmatch(r"Mr\. (\w+) wrote (\S+)\. Ask (\w+)", got[7].text)
+    assert m and m[1] == m[3] != "Garcia" and m[2] != "bob@x.org"
+
+
+def test_many_short_secrets(spark):
+    got = _run(spark, [f"password={c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
+    assert len({g.text for g in got.values()}) == 36
