@@ -22,7 +22,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,7 +108,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     rows = rows.unionByName(extra)
-    events = rows.select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    # each row is a message of its own, also where a turn repeats or is null; null turns come last, as in SQL
+    n = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    events = rows.select("conv_id", F.struct(F.col("turn").isNull().alias("last"), "turn", n.alias("n")).alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
     return read_back(format_conversations(events))
 
 
