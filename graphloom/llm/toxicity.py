@@ -8,8 +8,8 @@ search finds the cheapest reading under channel and language model; features com
 
 Features are words (doubled letters written once) and their first four to eight letters. Weights are log
 likelihood ratios of documents that hold a feature, learnt from at most ``most_labels`` labelled rows of the
-training folds, chosen by hash. A feature counts only as often as it has distinct left neighbours: words of a
-passage that toxic documents copy from each other keep the same neighbour, toxic words don't.
+training folds, chosen by hash. Labelled rows that are exact or near copies of each other count once, toxic and
+other ones on their own, so that a text copied often is no more evidence than the text.
 
 Defined cases: a null or empty text has no features and gets the score of texts without evidence;
 several labels of one document count as toxic if one is; null ids are never labelled; without labels all scores are
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import batch_of, documents, fold_of, spool, text_bytes
+from graphloom.llm.near_dedup import classes
 
 A = 27  # a to z, and 0 for a word's end or any other byte
 CODES = np.zeros(256, np.int64)
@@ -219,12 +220,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n_usable > most_labels:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_labels / n_usable))
     usable = spool(usable, "toxic-labels")  # about most_labels rows of 12 bytes at most
-    sample = spool(docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).join(F.broadcast(usable), "doc_id").select("toxic", "t"), "toxic-sample")
-    totals = {r[0] > 0: r[1] for r in sample.groupBy(F.col("toxic")).count().collect()}
-    n1, n0 = totals.get(True, 0), totals.get(False, 0)
+    sample = spool(docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).join(F.broadcast(usable), "doc_id").select("doc_id", "toxic", "t").withColumn("row", F.monotonically_increasing_id()), "toxic-sample")
+
+    def totals(rows):
+        n = {r[0] > 0: r[1] for r in rows.groupBy(F.col("toxic")).count().collect()}
+        return n.get(True, 0), n.get(False, 0)
+
+    n1, n0 = totals(sample)
     prior = math.log((n1 + 0.5) / (n0 + 0.5))
     if not n1 or not n0:
         return four, {}, (prior, 1.0)
+    rows = sample.select("row", F.col("toxic") > 0)
+    copies = classes(sample.select("doc_id", F.col("t").cast("string").alias("text"), "row"), row_col="row").select(F.col("rid").alias("row"), "class_id")
+    first = copies.join(rows.toDF("row", "bad"), "row").groupBy("class_id", "bad").agg(F.min("row").alias("row")).select("row")
+    distinct = spool(sample.join(first, "row", "left_semi").select("toxic", "t"), "toxic-distinct")
+    n1, n0 = totals(distinct)
+    sample = sample.select("toxic", "t")
     key = str(id(b_four)) + str(b_four._jbroadcast.id() if b_four._jbroadcast else "")
     schema = pa.schema([("f", pa.string()), ("n1", pa.int64()), ("n0", pa.int64())])
 
@@ -244,31 +255,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     held = Counter(), Counter()
         yield rows()
 
-    by_feature = sample.mapInArrow(count, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    by_feature = distinct.mapInArrow(count, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     # a feature that toxic documents hold LEAST_RATIO more often, in nats; the rest never leave the executors
     often = by_feature.where((F.col("n1") >= 3) & (F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1)) >= LEAST_RATIO))
     found = {r.f: (r.n1, r.n0) for r in often.orderBy(F.desc("n1"), "f").limit(8 * MOST_FEATURES).collect()}
-    b_found = sc.broadcast(frozenset(found))
-    pairs = pa.schema([("f", pa.string()), ("before", pa.binary())])
-
-    def neighbours(batches):
-        reader, wanted = _reader(key + "fit", lambda: Reader(CharModel(b_four.value))), b_found.value
-        seen: set[tuple[str, bytes]] = set()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                tokens = [b"", *reader.tokens(t)]
-                seen.update((f, before) for before, token in zip(tokens, tokens[1:]) for f in reader[token] if f in wanted)
-            if len(seen) > MEMORY // 2:
-                yield batch_of(pairs, list(zip(*seen)))
-                seen = set()
-        if seen:
-            yield batch_of(pairs, list(zip(*seen)))
-
-    diverse = dict(sample.where("toxic > 0").select("t").mapInArrow(neighbours, "f string, before binary").distinct().groupBy("f").count().collect())
     kept = []
     for f, (a, b) in found.items():
-        effective = min(a, diverse.get(f, 0))
-        g, ratio = _evidence(effective, b, n1, n0)
+        g, ratio = _evidence(a, b, n1, n0)
         if g >= LEAST_G and ratio >= LEAST_RATIO:
             kept.append((-g, f, min(6.0, ratio)))
     weights = {f: x for _, f, x in sorted(kept)[:MOST_FEATURES]}

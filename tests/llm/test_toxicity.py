@@ -79,3 +79,17 @@ def test_odd_rows(spark):
     assert len(got) == 5 and all(0 <= g.score <= 1 for g in got)
     none = tx.score(docs.limit(0), labels.limit(0))
     assert none.count() == 0
+
+
+def test_fixed_insults_count_whole_and_copies_once(spark):
+    """A toxic word that always follows the same word keeps its evidence; the words of one copied text don't gain by copies."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") for _ in range(3))
+    plain = [word() for _ in range(400)]
+    rows = [(i, " ".join(r.choices(plain, k=25)) + (" you zuxqivo" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]
+    copied = " ".join(r.choices(plain, k=40)) + " wjykopu"
+    rows += [(1000 + i, copied, 1) for i in range(60)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    weights = tx.fit(docs, labels)[1]
+    assert "=zuxqivo" in weights and "=wjykopu" not in weights
