@@ -6,7 +6,7 @@ in a row, single letters spaced out) becomes a lattice: a sign stands for letter
 letter for itself or for nothing, a space between single letters for nothing or for a word's end. Viterbi
 search finds the cheapest reading under channel and language model; features come from what is restored.
 
-Features are words (doubled letters written once) and their first four to eight letters. Weights are log
+Features are words (doubled letters written once, but in words that this would leave with one or two letters) and their first four to eight letters. Weights are log
 likelihood ratios of documents that hold a feature, learnt from at most ``most_labels`` labelled rows of the
 training folds, chosen by hash. Labelled rows that are exact or near copies of each other count once, toxic and
 other ones on their own, so that a text copied often is no more evidence than the text.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,12 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = "._-*~'`^,/\\"
 # channel costs, in nats
-LOOK, DROP_SIGN, DROP_SEPARATOR, DROP_THIRD, DROP_DOUBLE, STAR, JOIN, BREAK = 1.0, 7.0, 0.5, 0.7, 5.0, 4.0, 0.3, 2.0
+LOOK, DROP_SIGN, DROP_END, DROP_SEPARATOR, DROP_THIRD, DROP_DOUBLE, STAR, JOIN, BREAK = 1.0, 7.0, 4.0, 0.5, 0.7, 5.0, 4.0, 0.3, 2.0
 SPACED = re.compile(rb"(?<!\S)(?:[a-z0-9@$!|+*][ \t._-]+){2,}[a-z0-9@$!|+*](?![^\s.,!?;:])")
-EDGES = re.compile(r"^[^a-z0-9@$!|+(À-￿]+|[^a-z0-9À-￿]+$")
-DISGUISED = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!|+(*_~^`].*|.*(.)\1\1.*|.*[a-z][.\-/'][a-z].*)", re.S)
+# leading signs that may be letters stay, and so do trailing ones and stars: Viterbi decides between letters and noise
+EDGES = re.compile(r"^[^a-z0-9@$!|+(€£À-￿]+|[^a-z0-9@$!|+(*€£À-￿]+$")
+DISGUISED = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!|+(*€£_~^`].*|.*(.)\1\1.*|.*[a-z][.\-/'][a-z].*)|(?![$€£+(]?[\d.,]+[$€£+!(*]?$)(?=..)(?=.*[@$!|+(€£])[0-9@$!|+(*€£]+$", re.S)
+MASKED = re.compile(r"[a-z]{1,3}\*{2,}")
 MEMORY = 300_000
 STEMS = (4, 5, 6, 7, 8)
 MOST_FEATURES = 8192
@@ -77,6 +80,12 @@ class CharModel:
         return -math.log(self.p(context)[0 if c == " " else ord(c) - 96])
 
 
+@lru_cache(1)
+def _ending(s: str) -> int:
+    """Where the signs begin that end ``s``."""
+    return len(s.rstrip("@$!|+(*€£"))
+
+
 def options(s: str, i: int) -> list[tuple[str, float]]:
     """What the character at place i may stand for, and the channel's cost."""
     c = s[i]
@@ -91,7 +100,8 @@ def options(s: str, i: int) -> list[tuple[str, float]]:
     if c == "*":
         return [("", DROP_SEPARATOR), *[(x, STAR) for x in LETTERS]]
     if c in LOOKS:
-        return [*[(x, LOOK) for x in LOOKS[c]], ("", DROP_SIGN)]
+        at_end = not c.isdigit() and i >= _ending(s)
+        return [*[(x, LOOK) for x in LOOKS[c]], ("", DROP_END if at_end else DROP_SIGN)]
     if c in SEPARATORS:
         return [("", DROP_SEPARATOR)]
     return [(c, 0.0)]
@@ -129,13 +139,15 @@ def readings(token: str, model: CharModel) -> list[str]:
     if not core:
         return []
     if " " in core or DISGUISED.match(core):
-        return restore(core, model).split()
+        words = restore(core, model).split()
+        # a short word whose end is starred out can't be read letter by letter: its masked form is a word too
+        return [*words, core] if MASKED.fullmatch(core) else words
     return [core]
 
 
 def features(word: str) -> list[str]:
     key = re.sub(r"(.)\1+", r"\1", word)
-    return ["=" + key, *[key[:n] for n in STEMS if len(key) >= n]] if len(key) > 2 else []
+    return ["=" + key, *[key[:n] for n in STEMS if len(key) >= n]] if len(key) > 2 else ["=" + re.sub(r"(.)\1\1+", r"\1\1", word)]
 
 
 class Reader(dict):

@@ -93,3 +93,11 @@ def test_fixed_insults_count_whole_and_copies_once(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     weights = tx.fit(docs, labels)[1]
     assert "=zuxqivo" in weights and "=wjykopu" not in weights
+
+
+def test_disguises_at_the_end_and_of_short_words():
+    m = _model([*WORDS, *["ass", "piss", "shit"] * 100])
+    for s, want in {"a$$": "ass", "pi$$": "piss", "shi+": "shit", "@$$": "ass", "hello!": "hello", "hello!!!": "hello", "people***": "people", "tra$h!": "trash"}.items():
+        assert tx.readings(s, m) == [want], s
+    assert tx.readings("f***", m)[-1] == "f***" and tx.readings("$100", m) == ["$100"] and tx.readings("2024", m) == ["2024"]
+    assert tx.features("ass") == ["=ass"] != tx.features("as") == ["=as"] and tx.features("f***") == ["=f**"]
