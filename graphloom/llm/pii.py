@@ -50,7 +50,9 @@ _PARTICLE = "(?:van|von|der|den|de|del|della|la|las|los|le|di|da|dos|du|zu|ten|t
 _PART = rf"(?:{_PARTICLE}|\p{{Lu}}\. ){{0,5}}{_WORD}"
 NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.? {_PART}(?: {_PART}){{0,4}}(?!\p{{L}})"
 MENTION = rf"(?<![\p{{L}}\p{{M}}'’-]){_WORD}(?![\p{{L}}\p{{M}}])"
-PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, PHONE, IPV4, CARD, ACCESS_KEY, SECRET, NAME))
+# each with the signs that it can begin with, so that most places fail at once
+_BEGINS = {EMAIL: r"[\w.%+-]", f"(?:{PHONE})|{IPV4}|{CARD}": r"[+(\d]", ACCESS_KEY: "A", SECRET: "[PpKkCcПпTtSsAaBb]", NAME: r"[\p{Lu}]"}
+PATTERN = "|".join(f"(?={b})(?:{p})" for p, b in _BEGINS.items())
 
 #: Given names by script and gender, and syllables for surnames.
 GIVEN = {
