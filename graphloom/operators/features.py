@@ -16,7 +16,7 @@ from graphloom.operators.triangles import clustering_coefficient, triangles_per_
 def node_features(graph: Graph, exact: bool = True) -> DataFrame:
     """One row per vertex: degree and PageRank features, clustering, triangles, and path features from breadth-first search.
 
-    ``exact`` False takes cheap stand-ins for betweenness (degree over other vertices) and closeness (component share), no search.
+    ``exact`` False takes the reference's cheap proxies of betweenness (degree over other vertices) and closeness (component share), named as such.
     """
     n = graph.node_count()
     base = degrees(graph).select("node_id", "in_degree", "out_degree", "degree", (F.col("degree") / float(max(1, n - 1))).alias("degree_centrality"))
@@ -25,9 +25,10 @@ def node_features(graph: Graph, exact: bool = True) -> DataFrame:
     if exact:
         out = out.join(betweenness_centrality(graph).withColumnRenamed("betweenness_centrality", "betweenness"), "node_id").join(closeness_centrality(graph).withColumnRenamed("closeness_centrality", "closeness"), "node_id")
         return out.join(path_features(graph), "node_id")
+    out = out.join(path_features(graph), "node_id")
     c = cut(weakly_connected_components(graph), "feature-components")
-    share = c.join(component_sizes(c), "component").select("node_id", (F.col("size") / float(max(1, n))).alias("closeness"))
-    return out.withColumn("betweenness", F.col("degree") / float(max(1, n - 1))).join(share, "node_id")
+    share = c.join(component_sizes(c), "component").select("node_id", (F.col("size") / float(max(1, n))).alias("closeness_proxy"))
+    return out.withColumn("betweenness_proxy", F.col("degree") / float(max(1, n - 1))).join(share, "node_id")
 
 
 def path_features(graph: Graph) -> DataFrame:

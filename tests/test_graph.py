@@ -277,3 +277,11 @@ def test_files_and_engine(spark, f1, tmp_path):
     assert got.distance == 4.0 and got.path == ["A", "B", "C", "D"]
     pr = {r.node_id: r.pagerank_score for r in engine.sql("SELECT * FROM graph_pagerank(TABLE(f1_edges) WITH SINGLE PARTITION)").collect()}
     assert pr == pytest.approx(pairs(centrality.pagerank(f1), "node_id", "pagerank_score"), abs=1e-5)
+
+
+def test_node_features_query_has_path_features(f4):
+    from graphloom.operators import features
+
+    f = features.node_features(f4, exact=False)
+    assert {"eccentricity", "mean_path", "reached", "betweenness_proxy", "closeness_proxy"} <= set(f.columns) and not {"betweenness", "closeness"} & set(f.columns)
+    assert f.count() == f4.node_count()
