@@ -45,6 +45,7 @@ SPACED = re.compile(rb"(?<!\S)(?:[a-z0-9@$!|+*][ \t._-]+){2,}[a-z0-9@$!|+*](?![^
 # leading signs that may be letters stay, and so do trailing ones and stars: Viterbi decides between letters and noise
 EDGES = re.compile(r"^[^a-z0-9@$!|+(€£À-￿]+|[^a-z0-9@$!|+(*€£À-￿]+$")
 DISGUISED = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!|+(*€£_~^`].*|.*(.)\1\1.*|.*[a-z][.\-/'][a-z].*)|(?![$€£+(]?[\d.,]+[$€£+!(*]?$)(?=..)(?=.*[@$!|+(€£])[0-9@$!|+(*€£]+$", re.S)
+STARRED = re.compile(r"\*{3,}[@$!|+(*€£]*$")
 MASKED = re.compile(r"[a-z]{1,3}\*{2,}")
 MEMORY = 300_000
 STEMS = (4, 5, 6, 7, 8)
@@ -139,7 +140,8 @@ def readings(token: str, model: CharModel) -> list[str]:
     if not core:
         return []
     if " " in core or DISGUISED.match(core):
-        words = restore(core, model).split()
+        # three stars and more at the end make a lattice of 26**3 readings and never beat being dropped
+        words = restore(STARRED.sub("", core), model).split()
         # a short word whose end is starred out can't be read letter by letter: its masked form is a word too
         return [*words, core] if MASKED.fullmatch(core) else words
     return [core]
