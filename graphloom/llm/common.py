@@ -34,6 +34,14 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it as long as a column in ``taken`` has it (names differ in more than case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_bytes(column: str | Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")

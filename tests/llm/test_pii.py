@@ -22,6 +22,7 @@ def _luhn(s):
 
 
 def _run(spark, texts, **kw):
+    kw = {"key": "test key"} | kw
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n_entities2 long")
     return {r.doc_id: r for r in pii.replace(docs, **kw).collect()}
 
@@ -46,7 +47,7 @@ def test_replacements(spark):
 def test_collisions_move(spark, monkeypatch):
     """With few surrogates to choose from, entities move until all differ, and none equals one that occurs."""
     plain = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda v, key, attempt: F.when(attempt < 4, F.concat(F.lit("a@b.c"), F.pmod(F.xxhash64(v, attempt), F.lit(5)).cast("string"))).otherwise(plain(v, key, attempt)))
+    monkeypatch.setattr(pii, "surrogate", lambda v, key, attempt, *_: F.when(attempt < 4, F.concat(F.lit("a@b.c"), F.pmod(F.xxhash64(v, attempt), F.lit(5)).cast("string"))).otherwise(plain(v, key, attempt)))
     texts = [f"to u{i}@x.com and u{i % 7}@x.com." for i in range(40)]
     got = _run(spark, texts)
     seen = {}
@@ -59,7 +60,7 @@ def test_collisions_move(spark, monkeypatch):
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert pii.replace(docs).count() == 0
+    assert pii.replace(docs, "k").count() == 0
 
 
 def test_other_spellings(spark):
@@ -99,3 +100,56 @@ def test_whole_names_and_mentions(spark):
 def test_many_short_secrets(spark):
     got = _run(spark, [f"password={c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
     assert len({g.text for g in got.values()}) == 36
+
+
+def test_one_person_one_name(spark):
+    """Forms of address that tell no gender take that of the same name elsewhere, mentions without one take the document's surrogate."""
+    got = _run(spark, ["Mr John Smith wrote. Later Dr John Smith and Smith spoke; John Smith left.", "Prof. Jane Doe", "Mrs. Jane Doe", "Dr Kim Roe", "Mr Kim Roe", "Ms Kim Roe"])
+    m = re.fullmatch(r"Mr (\w+) (\w+) wrote\. Later Dr (\w+) (\w+) and (\w+) spoke; (\w+) (\w+) left\.", got[0].text)
+    assert m and m[1] == m[3] == m[6] in pii.GIVEN["latin"]["m"] and m[2] == m[4] == m[5] == m[7] != "Smith"
+    assert got[1].text.split()[1:] == got[2].text.split()[1:] and got[1].text.split()[1] in pii.GIVEN["latin"]["f"]
+    assert got[3].text.split()[1] in pii.GIVEN["latin"]["n"]  # a Mr and a Ms of that name: no gender to tell
+
+
+def test_moved_names_keep_their_surname(spark):
+    """More namesakes than given names: they stay distinct, and share one surname with each other and with the plain mention."""
+    first = [f"{a}{b}" for a in ("An", "Be", "Ce", "Do", "Ed") for b in "abcdefghijklmnopqrst"]
+    got = _run(spark, [*[f"Mr {x} Miller came" for x in first], "Mr Miller came"])
+    names = [got[i].text.split()[1] for i in range(len(first))]
+    assert len(set(names)) == len(first)
+    assert len({got[i].text.split()[-2] for i in range(len(first) + 1)}) == 1
+
+
+def test_surname_words_that_collide_move(spark, monkeypatch):
+    plain = pii.surname
+    monkeypatch.setattr(pii, "surname", lambda w, key, attempt: F.when(attempt < 2, F.concat(F.lit("Same"), F.pmod(F.xxhash64(w, attempt), F.lit(2)).cast("string"))).otherwise(plain(w, key, attempt)))
+    got = _run(spark, [f"Mr Xo N{c} and Dr N{c} with N{c}" for c in "abcdefgh"])
+    assert all(t[2] == t[5] == t[7] for i in range(8) for t in [got[i].text.split()]), got
+    assert len({got[i].text.split()[2] for i in range(8)}) == 8
+
+
+def test_small_spaces_widen(spark):
+    """All 100 two-digit tails of a number, more than a format of eight signs a place holds."""
+    texts = [f"call 030 {i:06d}" for i in range(0, 1000000, 2500)] + [f"mail {a}@x.org" for a in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    got = _run(spark, texts)
+    assert len({got[i].text for i in range(len(texts))}) == len(texts) and not {g.text for g in got.values()} & set(texts)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = "plain words " * 40000 + "bob@x.org " + "more, words " * 40000
+    docs = spark.createDataFrame([(None, long, 7, "a", 1), (None, long, 7, "a", 1), (1, None, 8, "b", 2)], "doc_id long, text string, n_entities long, __e string, __rid int")
+    got = pii.replace(docs, "k")
+    assert got.columns == [*docs.columns, "n_entities_"]
+    rows = sorted(got.collect(), key=lambda r: r.n_entities)
+    assert [(r.doc_id, r.n_entities, r["__e"], r["__rid"], r["n_entities_"]) for r in rows] == [(None, 7, "a", 1, 1)] * 2 + [(1, 8, "b", 2, 0)]
+    assert rows[0].text == rows[1].text != long and len(rows[0].text) == len(long) and "bob@x.org" not in rows[0].text and rows[2].text is None
+    assert pii.replace(docs, "k", count=None).columns == docs.columns
+
+
+def test_keyed_by_hmac(spark):
+    import hashlib
+    import hmac
+
+    for key in ("k", "long " * 40):
+        got = spark.createDataFrame([("é v",)], "v string").select(pii._hmac(key, F.lit("a"), F.col("v"))).first()[0]
+        assert got == hmac.new(key.encode(), "a\x1fé v".encode(), hashlib.sha256).hexdigest()
