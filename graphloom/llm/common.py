@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,6 +48,20 @@ def text_bytes(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def stretches(text: bytes, most: int = 1 << 20):
+    """The text in pieces cut at ASCII white space, of about ``most`` bytes, so that no very long list of words is held."""
+    at = 0
+    while len(text) - at > most:
+        cut = WHITE.search(text, at + most)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def fold_of(id_column: str | Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     c = F.col(id_column) if isinstance(id_column, str) else id_column

@@ -13,11 +13,16 @@ other ones on their own, so that a text copied often is no more evidence than th
 
 Defined cases: a null or empty text has no features and gets the score of texts without evidence;
 several labels of one document count as toxic if one is; null ids are never labelled; without labels all scores are
-those of the prior; repeated rows give repeated results; other columns are ignored.
+those of the prior, under one half; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored, those in
+``keep`` pass as ``in_<name>``, so no name can clash. Very long texts are counted in slices and split as a stream.
+
+All features that pass the tests of evidence have a weight. Each needs three toxic documents of the at most ``most_labels`` labelled ones, so the
+table that is broadcast grows with that sample, not with the corpus.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import batch_of, documents, fold_of, spool, text_bytes
+from graphloom.llm.common import batch_of, documents, fold_of, spool, stretches, text_bytes
 from graphloom.llm.near_dedup import classes
 
 A = 27  # a to z, and 0 for a word's end or any other byte
@@ -49,8 +54,7 @@ STARRED = re.compile(r"\*{3,}[@$!|+(*€£]*$")
 MASKED = re.compile(r"[a-z]{1,3}\*{2,}")
 MEMORY = 300_000
 STEMS = (4, 5, 6, 7, 8)
-MOST_FEATURES = 8192
-MOST_STEPS = 240
+SLICE = 1 << 20  # bytes of text that are counted at a time
 LEAST_G, LEAST_RATIO = 22.0, 3.0  # chi-square evidence and log likelihood ratio of a feature
 
 
@@ -171,17 +175,18 @@ class Reader(dict):
             self[token] = got
         return got
 
-    def tokens(self, text: bytes) -> list[bytes]:
+    def tokens(self, text: bytes) -> set[bytes]:
+        """The distinct tokens of a text, and what its spaced words are without their spaces doubled."""
         text = text.lower()
-        out = text.split()
+        out = {w for part in stretches(text) for w in part.split()}
         for m in SPACED.finditer(text):
             if b" " in m[0] or b"\t" in m[0]:
-                out.append(b" ".join(m[0].split()))
+                out.add(b" ".join(m[0].split()))
         return out
 
     def score(self, text: bytes) -> float:
         """Sum over distinct words of the weight of their strongest feature."""
-        found = {f: x for hit in map(self.__getitem__, set(self.tokens(text))) for f, x in hit}
+        found = {f: x for hit in map(self.__getitem__, self.tokens(text)) for f, x in hit}
         return sum(found.values())
 
 
@@ -196,18 +201,34 @@ def _reader(key: str, make) -> Reader:
     return _readers[key]
 
 
+def slices(texts: list[bytes], most: int):
+    """The texts, each with a line's end behind it, as one stream of pieces of at most ``most`` bytes."""
+    held, size = [], 0
+    for t in texts:
+        for i in range(0, max(1, len(t)), most):
+            part = t[i : i + most]
+            if size + len(part) > most:
+                yield b"".join(held)
+                held, size = [], 0
+            held.append(part)
+            size += len(part)
+        held.append(b"\n")
+    if held:
+        yield b"".join(held)
+
+
 def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """4-gram counts of the whole corpus, at most A**4 numbers."""
     schema = pa.schema([("code", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        total = np.zeros(A**4, np.int64)
+        total, tail = np.zeros(A**4, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i in range(0, len(texts), 500):
-                c = CODES[np.frombuffer(b"\n".join(texts[i : i + 500]) + b"\n", np.uint8)]
+            for piece in slices(b.column(0).to_pylist(), SLICE):
+                c = np.concatenate((tail, CODES[np.frombuffer(piece, np.uint8)]))
                 if len(c) > 3:
                     total += np.bincount(((c[:-3] * A + c[1:-2]) * A + c[2:-1]) * A + c[3:], minlength=A**4)
+                tail = c[-3:]
         seen = np.flatnonzero(total)
         yield batch_of(schema, [seen.astype(np.int32), total[seen]])
 
@@ -217,11 +238,11 @@ def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def _evidence(n1, n0, total1, total0):
-    """(G statistic, log likelihood ratio) of a feature in n1 of total1 toxic and n0 of total0 other documents."""
+def _evidence(n1, n0, total1: float, total0: float):
+    """(G statistic, log likelihood ratio) of a feature in n1 of total1 toxic and n0 of total0 other documents; n1 and n0 are columns."""
     p1, p0, p = (n1 + 0.5) / (total1 + 1), (n0 + 0.5) / (total0 + 1), (n1 + n0 + 1) / (total1 + total0 + 2)
-    g = 2 * (n1 * math.log(p1 / p) + n0 * math.log(p0 / p) + (total1 - n1) * math.log(max(1e-9, 1 - p1) / (1 - p)) + (total0 - n0) * math.log(max(1e-9, 1 - p0) / (1 - p)))
-    return g, math.log(p1 / p0)
+    absent = lambda q: F.log(F.greatest(1 - q, F.lit(1e-9)) / (1 - p))
+    return 2 * (n1 * F.log(p1 / p) + n0 * F.log(p0 / p) + (total1 - n1) * absent(p1) + (total0 - n0) * absent(p0)), F.log(p1 / p0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 50_000) -> tuple[np.ndarray, dict[str, float], tuple[float, float]]:
@@ -237,17 +258,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = spool(docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).join(F.broadcast(usable), "doc_id").select("doc_id", "toxic", "t").withColumn("row", F.monotonically_increasing_id()), "toxic-sample")
 
     def totals(rows):
-        n = {r[0] > 0: r[1] for r in rows.groupBy(F.col("toxic")).count().collect()}
-        return n.get(True, 0), n.get(False, 0)
+        n = rows.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
+        return n[0], n[1]
 
     n1, n0 = totals(sample)
-    prior = math.log((n1 + 0.5) / (n0 + 0.5))
+    prior = math.log((n1 + 0.5) / (n0 + 1.0))  # below even without labels
     if not n1 or not n0:
         return four, {}, (prior, 1.0)
     rows = sample.select("row", F.col("toxic") > 0)
     copies = classes(sample.select("doc_id", F.col("t").cast("string").alias("text"), "row"), row_col="row").select(F.col("rid").alias("row"), "class_id")
     first = copies.join(rows.toDF("row", "bad"), "row").groupBy("class_id", "bad").agg(F.min("row").alias("row")).select("row")
-    distinct = spool(sample.join(first, "row", "left_semi").select("toxic", "t"), "toxic-distinct")
+    # reading a row takes long beside moving it: many even parts
+    distinct = spool(sample.join(first, "row", "left_semi").repartition(max(8, (n1 + n0) // 1000), "row").select("toxic", "t"), "toxic-distinct")
     n1, n0 = totals(distinct)
     sample = sample.select("toxic", "t")
     key = str(id(b_four)) + str(b_four._jbroadcast.id() if b_four._jbroadcast else "")
@@ -263,31 +285,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         for b in batches:
             for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[toxic > 0].update({f for fs in map(reader.__getitem__, set(reader.tokens(t))) for f in fs})
+                held[toxic > 0].update({f for fs in map(reader.__getitem__, reader.tokens(t)) for f in fs})
                 if len(held[0]) + len(held[1]) > MEMORY // 2:
                     yield rows()
                     held = Counter(), Counter()
         yield rows()
 
     by_feature = distinct.mapInArrow(count, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    # a feature that toxic documents hold LEAST_RATIO more often, in nats; the rest never leave the executors
-    often = by_feature.where((F.col("n1") >= 3) & (F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1)) >= LEAST_RATIO))
-    found = {r.f: (r.n1, r.n0) for r in often.orderBy(F.desc("n1"), "f").limit(8 * MOST_FEATURES).collect()}
-    kept = []
-    for f, (a, b) in found.items():
-        g, ratio = _evidence(a, b, n1, n0)
-        if g >= LEAST_G and ratio >= LEAST_RATIO:
-            kept.append((-g, f, min(6.0, ratio)))
-    weights = {f: x for _, f, x in sorted(kept)[:MOST_FEATURES]}
+    # the features that toxic documents hold often enough; the rest never leave the executors
+    g, ratio = _evidence(F.col("n1"), F.col("n0"), float(n1), float(n0))
+    kept = by_feature.where("n1 >= 3").select("f", ratio.alias("ratio"), g.alias("g")).where((F.col("g") >= LEAST_G) & (F.col("ratio") >= LEAST_RATIO))
+    weights = {r.f: min(6.0, r.ratio) for r in kept.orderBy("f").select("f", "ratio").toLocalIterator()}
     b_weights = sc.broadcast(weights)
     steps = pa.schema([("step", pa.int32()), ("toxic", pa.int32())])
 
     def evidence(batches):
         reader = _reader(key + "sum", lambda: Reader(CharModel(b_four.value), b_weights.value))
         for b in batches:
-            yield batch_of(steps, [[min(MOST_STEPS, round(4 * reader.score(t))) for t in b.column(1).to_pylist()], [int(x > 0) for x in b.column(0).to_pylist()]])
+            yield batch_of(steps, [[round(4 * reader.score(t)) for t in b.column(1).to_pylist()], [int(x > 0) for x in b.column(0).to_pylist()]])
 
-    sums = sample.mapInArrow(evidence, "step int, toxic int").groupBy("step").agg(F.sum("toxic"), F.count(F.lit(1))).collect()  # MOST_STEPS rows at most
+    sums = sample.mapInArrow(evidence, "step int, toxic int").groupBy("step").agg(F.sum("toxic"), F.count(F.lit(1))).collect()  # a row for each step that the sample's sums take
     return four, weights, _calibrate([(r[0] / 4, r[1], r[2]) for r in sums], prior)
 
 
@@ -305,23 +322,24 @@ def _calibrate(sums: list[tuple[float, int, int]], prior: float) -> tuple[float,
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, **options_) -> DataFrame:
-    """id, held_out, score, predicted of every row, and the columns in ``keep``, unchanged."""
+    """doc_id, held_out, score, predicted of every row, and the columns in ``keep``, unchanged, as ``in_<name>``."""
     sc = docs.sparkSession.sparkContext
     b_model = sc.broadcast(fit(docs, labels, id_col, text_col, **options_))
     four, weights, _ = b_model.value
-    key = f"score-{hash(four.tobytes())}-{hash(tuple(sorted(weights)))}"
+    key = "score-" + hashlib.sha256(four.tobytes() + repr(sorted(weights.items())).encode()).hexdigest()
     keep = keep or []
-    shape = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), *[docs.schema[c] for c in keep]])
+    passed = [T.StructField(f"in_{c}", docs.schema[c].dataType) for c in keep]
+    shape = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *passed])
 
     def run(batches):
         four, weights, (intercept, slope) = b_model.value
         reader = _reader(key, lambda: Reader(CharModel(four), weights))
         for b in batches:
-            scores = [1 / (1 + math.exp(-(intercept + slope * reader.score(t)))) for t in b.column("__t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__held"), pa.array(scores, pa.float64()), *[b.column(f"__k{i}") for i in range(len(keep))]], names=shape.names)
+            scores = [1 / (1 + math.exp(-max(-700.0, min(700.0, intercept + slope * reader.score(t))))) for t in b.column("__t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__held"), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), *[b.column(f"__k{i}") for i in range(len(keep))]], names=shape.names)
 
     rows = docs.select(F.col(id_col).alias("__id"), (fold_of(id_col) == 0).alias("__held"), text_bytes(text_col).alias("__t"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
-    return rows.mapInArrow(run, shape).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.mapInArrow(run, shape)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
