@@ -2,6 +2,10 @@
 
 Toxic documents go, then exact copies, then near copies; what is left gets surrogates for personal data and is
 packed to sequences. All stages but the last return the columns of documents, and each passes on every row its decisions keep.
+
+Defined cases, of every stage: a null text is an empty one (and stays null in the table); a null id is an id, larger than all others;
+repeated rows are copies of each other; columns other than doc_id and text pass unchanged, whatever their names, but ``n_chars``, which follows
+the text where surrogates change it; an empty table gives an empty one; without labels no document is toxic.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ from graphloom.llm.common import documents, shared_dir
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity score predicts to be toxic."""
-    scored = toxicity.score(docs, documents(spark, sf_dir, "labels"), keep=_fields(docs, "doc_id"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    fields = _fields(docs, "doc_id")
+    kept = toxicity.score(docs, documents(spark, sf_dir, "labels"), keep=fields).where("predicted = 0")
+    return kept.select(*[F.col(c if c == "doc_id" else f"in_{c}").alias(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets in the texts."""
-    replaced = pii.replace(docs).drop("n_entities")
+    replaced = pii.replace(docs, spark.conf.get(pii.KEY_SETTING, pii.PUBLIC_KEY), count=None)
     return replaced.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else replaced
 
 
