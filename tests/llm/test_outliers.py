@@ -1,4 +1,4 @@
-"""Counts against plain Python; the robust distance against numpy's concentration steps."""
+"""Counts against plain Python; the robust distance against numpy's smallest determinant over random starts."""
 
 import random
 import re
@@ -37,17 +37,77 @@ def test_distance_is_robust(spark):
     got = {x.id: x.d2 for x in outliers.robust_distance(df, ["lang", "source"]).collect()}
     d2 = np.array([got[i] for i in range(len(rows))])
     assert (d2[3000:] > outliers.CUTOFF).all() and (d2[:3000] > outliers.CUTOFF).mean() < 0.02
-    # the same steps in numpy, from the start's centre, end at the same distances
+    # concentration steps in numpy from many random starts: none ends at a smaller determinant
     x = np.array([row[3:] for row in rows])
-    q = np.percentile(x, [25, 50, 75], axis=0)
-    floors = np.diag([f for _, _, f in outliers.VECTOR]) ** 2
-    centre, scatter = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floors
-    for _ in range(outliers.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
-        core = x[d <= np.quantile(d, outliers.HALF)]
-        centre, scatter = core.mean(0), np.cov(core.T, bias=True) * outliers.CONSISTENCY + floors
-    want = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
-    assert np.allclose(np.sort(d2)[:3000], np.sort(want)[:3000], rtol=0.1, atol=0.1)
+    keys = ["g_0"]
+    found = outliers.estimates(df.select(F.lit("g").alias("g_0"), (F.col("id") % outliers.SALTS).alias("salt"), *outliers.NAMES), keys).first()
+    floors, least = np.diag([f for _, _, f in outliers.VECTOR]) ** 2, np.inf
+    for _ in range(60):
+        core = x[r.choice(len(x), 6, replace=False)]
+        last = np.inf
+        while True:
+            centre, scatter = core.mean(0), np.cov(core.T, bias=True) * outliers.CONSISTENCY + floors
+            now = np.linalg.slogdet(scatter)[1]
+            if now > last - 1e-9 and len(core) > 6:
+                break
+            last = now if len(core) > 6 else np.inf
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            core = x[d <= np.sort(d)[int(np.ceil(outliers.HALF * len(x))) - 1]]
+        if now < least:
+            least, want = now, np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+    assert found.logdet < least + 1e-3
+    assert np.allclose(np.sort(d2)[:3000], np.sort(want)[:3000], rtol=0.05, atol=0.05)
+
+
+def test_determinant_falls(spark):
+    """Each concentration step, from each start, has a determinant no larger than the one before it."""
+    r = np.random.default_rng(9)
+    rows = [(str(g), i % outliers.SALTS, *map(float, r.normal(size=5) * (1 + g) + (r.random() < 0.2) * 8)) for g in range(3) for i in range(400)]
+    df = spark.createDataFrame(rows, "g_0 string, salt long, x0 double, x1 double, x2 double, x3 double, x4 double")
+    now, last = outliers._concentrate(df, outliers._starts(df, ["g_0"]), ["g_0"]), {}
+    for _ in range(4):
+        seen = {(e.g_0, e.start): e.logdet for e in now.collect()}
+        assert len(seen) == 3 * outliers.STARTS and all(seen[k] <= last.get(k, np.inf) + 0.01 for k in seen)
+        last, now = seen, outliers._concentrate(df, now, ["g_0"])
+
+
+def test_fixed_values():
+    """The chi-square constants by numeric integration."""
+    from math import gamma
+
+    def below(x, k):
+        t = np.linspace(0, x, 400_001)
+        y = t ** (k / 2 - 1) * np.exp(-t / 2) / (2 ** (k / 2) * gamma(k / 2))
+        return float(((y[1:] + y[:-1]) / 2 * np.diff(t)).sum())
+
+    assert abs(below(outliers.CUTOFF, 5) - 0.9999) < 1e-7 and abs(below(outliers.NORM, 5) - 0.5) < 1e-6
+    low, high = 0.0, 50.0
+    while high - low > 1e-9:
+        low, high = ((low + high) / 2, high) if below((low + high) / 2, 5) < outliers.HALF else (low, (low + high) / 2)
+    assert abs(outliers.HALF / below(low, 7) - outliers.CONSISTENCY) < 1e-3
+
+
+def test_same_verdicts_in_any_layout(spark):
+    """A group of 6000, two layouts: equal distances to the last bit."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 55 + CAST(pmod(xxhash64(id), 60) AS INT)), i -> concat('w', CAST(pmod(xxhash64(id, i), 3000) AS STRING), IF(pmod(xxhash64(i, id), 50) = 0, '%', ''))), ' ') AS text", "'en' AS lang", "'s' AS source")
+    runs = [{g.doc_id: (g.kept, g.d2) for g in outliers.judge(d).collect()} for d in (docs.repartition(3), docs.repartition(7, "doc_id").sortWithinPartitions(F.xxhash64("doc_id")))]
+    assert runs[0] == runs[1] and len(runs[0]) == 6000
+
+
+def test_whole_table_counts(spark):
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    got = outliers.op7_outliers(spark, d).collect()
+    assert sorted(g.doc_id for g in got) == sorted(texts)
+    for g in got:
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == _counts(texts[g.doc_id])
+        assert g.base_failed == (g.n_words < 50 or 100 * g.n_repeat_words > 50 * g.n_words) and not (g.kept and g.base_failed)
+
+
+def test_repeated_rows_count(spark):
+    rows = [(1, " ".join(f"w{j}" for j in range(60)), "en", "s")] * 3 + [(None, None, None, None)] * 2
+    got = outliers.judge(spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, lang string, source string, d2 int")).collect()
+    assert sorted((str(g.doc_id), g.kept) for g in got) == [("1", True)] * 3 + [("None", False)] * 2
 
 
 def test_judge(spark):
