@@ -1,34 +1,17 @@
-"""What the operators of this subpackage share: the shared folder, spooled tables, Arrow helpers."""
+"""What the operators of this subpackage share: spooled tables, filters, Arrow helpers."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
+from graphloom.lineage import cut, new_path
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of this process's own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="graphloom-")
-    return "file://" + _own_dirs[app]
-
-
-def spool(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends at files every executor can reach."""
-    path = f"{shared_dir(df.sparkSession)}/graphloom-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+spool = cut
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -68,21 +51,57 @@ def fold_of(id_column: str | Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-MOST_WORDS = 1 << 20  # of a bit table: 64 bits each, 16 MB at most are broadcast
+MOST_BLOCKS = 1 << 19  # of a filter: 512 bits each, 50 MB at most are broadcast
+
+
+@dataclass
+class Filter:
+    """A bit table: (block, w0 ... w7), and the number of blocks."""
+
+    table: DataFrame
+    blocks: int
+
+
+def _place(column: str, blocks: int) -> list[Column]:
+    h = F.xxhash64(column)
+    return [F.pmod(h, F.lit(blocks)).alias("__block"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(512)).cast("int").alias("__bit")]
+
+
+def _blocks(n: int) -> int:
+    """For eight bits or more for each of n values, up to a fixed size; beyond 33 million values a filter only lets more pass."""
+    return 1 << max(4, min(MOST_BLOCKS.bit_length() - 1, (n // 64 + 1).bit_length()))
+
+
+def _bits(keys: DataFrame, column: str, blocks: int, by: list[str]) -> DataFrame:
+    word = lambda i: F.coalesce(F.bit_or(F.expr(f"CASE WHEN __bit DIV 64 = {i} THEN shiftleft(1L, __bit % 64) END")), F.lit(0)).alias(f"__w{i}")
+    return keys.select(*by, *_place(column, blocks)).groupBy(*by, "__block").agg(*[word(i) for i in range(8)])
+
+
+def filter_of(keys: DataFrame, column: str) -> Filter:
+    blocks = _blocks(keys.count())
+    return Filter(_bits(keys, column, blocks, []), blocks)
+
+
+def filters_of(keys: DataFrame, column: str, by: str) -> dict[int, Filter]:
+    """A filter of the values of each number in ``by``, of which there are few, all written at once."""
+    sizes = dict(keys.groupBy(by).count().collect())
+    if not sizes:
+        return {}
+    blocks = _blocks(max(sizes.values()))
+    table, path = _bits(keys, column, blocks, [by]), new_path(keys.sparkSession, "filters")
+    table.write.partitionBy(by).parquet(path)
+    return {i: Filter(keys.sparkSession.read.schema(table.drop(by).schema).parquet(f"{path}/{by}={i}"), blocks) for i in sorted(sizes)}
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """``rows`` with a boolean ``__maybe``: false only where ``column`` is none of the values in ``keys``.
+def maybe_in(rows: DataFrame, known: Filter, column: str) -> DataFrame:
+    """``rows`` with a boolean ``__maybe``: false only where ``column`` is none of the filter's values.
 
-    A bit table of eight bits a key, up to a fixed size, is broadcast; beyond that size it only lets more rows through.
     It keeps rows without a partner out of the shuffle of the exact join that follows.
     """
-    words = 1 << max(10, min(MOST_WORDS.bit_length() - 1, (keys.count() // 8 + 1).bit_length()))
-    word = F.pmod(F.xxhash64(column), F.lit(words)).alias("__word")
-    bit = F.pmod(F.shiftrightunsigned(F.xxhash64(column), 40), F.lit(64)).cast("int").alias("__bit")
-    table = keys.select(word, bit).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
-    met = rows.select("*", word, bit).join(F.broadcast(table), "__word", "left")  # at most MOST_WORDS rows
-    return met.withColumn("__maybe", F.coalesce(F.expr("shiftrightunsigned(__bits, __bit) & 1"), F.lit(0)) == 1).drop("__word", "__bit", "__bits")
+    met = rows.select("*", *_place(column, known.blocks)).join(F.broadcast(known.table), "__block", "left")  # at most MOST_BLOCKS rows
+    word = F.expr("element_at(array(__w0, __w1, __w2, __w3, __w4, __w5, __w6, __w7), CAST(__bit DIV 64 AS INT) + 1)")
+    hit = F.coalesce(word.bitwiseAND(F.expr("shiftleft(1L, __bit % 64)")), F.lit(0)) != 0
+    return met.withColumn("__maybe", hit).drop("__block", "__bit", *[f"__w{i}" for i in range(8)])
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from graphloom.llm.common import documents, maybe_in, spool, text_bytes
+from graphloom.llm.common import documents, filter_of, maybe_in, spool, text_bytes
 from graphloom.llm.components import components
 
 WIDTH = 5
@@ -193,7 +193,7 @@ def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str)
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(b" ".join(x.split()), digest_size=16).digest() for x in t.to_pylist()], pa.binary()), t], names=["same", "t"])
 
     rows = docs.select(text_bytes(text_col).alias("t")).mapInArrow(digest, "same binary, t binary")
-    maybe = maybe_in(rows, wanted, "same").where("__maybe").select("same", "t")
+    maybe = maybe_in(rows, filter_of(wanted, "same"), "same").where("__maybe").select("same", "t")
     # of equal texts one is enough: partial aggregation drops the others before they move
     return spool(maybe.join(wanted, "same").groupBy("node").agg(F.first("t").alias("t")), "near-texts")
 
@@ -245,7 +245,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` without all but the smallest id of each class."""
     rows = spool(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
     dropped = spool(classes(rows, id_col, text_col, row_col="__row").where("NOT kept").select(F.col("rid").alias("__row")), "near-dropped")
-    rows = maybe_in(rows, dropped, "__row")
+    rows = maybe_in(rows, filter_of(dropped, "__row"), "__row")
     sure = rows.where("NOT __maybe").select(*docs.columns)
     return sure.unionByName(rows.where("__maybe").join(dropped, "__row", "left_anti").select(*docs.columns))
 

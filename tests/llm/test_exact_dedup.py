@@ -36,9 +36,43 @@ def test_equal_digests_of_unequal_texts_stay_apart(spark, monkeypatch):
 
 
 def test_runs_merge(spark):
-    old = exact_dedup.flush(spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string"))
-    new = exact_dedup.flush(spark.createDataFrame([(1, "a"), (9, "c")], "doc_id long, text string"))
-    assert sorted((r.keep_id, r.n) for r in exact_dedup.compact(old, new).collect()) == [(1, 2), (6, 1), (9, 1)]
+    frame = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.Index(spark)
+    for i in range(exact_dedup.FANOUT - 1):
+        index.add(frame((50 - i, "a"), (100 + i, f"t{i}")), memtables=1)
+    assert [r.level for r in index.runs] == [0] * (exact_dedup.FANOUT - 1)
+    # a lookup reads the runs whose filters know the digest, and none for a digest that no run holds
+    asked = spark.createDataFrame([(hashlib.sha256(t).hexdigest(),) for t in (b"a", b"t3", b"none")], "digest string")
+    assert sorted((r.keep_id, r.n) for r in index.lookup(asked).collect()) == [(50 - exact_dedup.FANOUT + 2, exact_dedup.FANOUT - 1), (103, 1)]
+    assert [(r.keep_id, r.n) for r in index.hits().collect()] == [(50 - exact_dedup.FANOUT + 2, exact_dedup.FANOUT - 1)]
+    index.add(frame((1, "a"), (9, "c")), memtables=1)
+    assert [r.level for r in index.runs] == [1]
+    rows = [r.digest for r in index.runs[0].rows.coalesce(1).collect()]
+    assert len(rows) == len(set(rows)) == exact_dedup.FANOUT + 1 and [(r.keep_id, r.n) for r in index.hits().collect()] == [(1, exact_dedup.FANOUT)]
+
+
+def test_second_batch_meets_the_index(spark):
+    """Batches one after the other give what all rows at once give for the rows of the last batch, whatever has been compacted."""
+    r = random.Random(3)
+    rows = [(i, f"t{r.randrange(90)}") for i in range(150)]
+    index, seen = exact_dedup.Index(spark), []
+    for a in range(0, 150, 50):
+        batch = rows[a : a + 50]
+        docs = spark.createDataFrame(batch, "doc_id long, text string").repartition(3)
+        known = spark.createDataFrame(seen, "doc_id long, text string") if seen else None
+        got = exact_dedup.dedup(docs, index=index, known=known).collect()
+        seen += batch
+        want = {x[0]: x for x in _brute(seen)}
+        assert sorted((g.doc_id, g.keep_id, g.group_size, g.text_sha256) for g in got) == sorted(want[i] for i, _ in batch)
+        assert {g.doc_id for g in got if g.kept} == {i for i, _ in batch if want[i][1] == i}
+
+
+def test_filters_hold_all_their_keys(spark):
+    from graphloom.llm.common import filter_of, maybe_in
+
+    keys, others = spark.range(20000).selectExpr("id", "CAST(id AS STRING) AS digest"), spark.range(20000, 60000).selectExpr("id", "CAST(id AS STRING) AS digest")
+    made = filter_of(keys, "digest")
+    assert maybe_in(keys, made, "digest").where("NOT __maybe").isEmpty() and maybe_in(others, made, "digest").where("__maybe").count() < 8000
 
 
 def test_empty_table(spark):
