@@ -10,13 +10,12 @@ the text where surrogates change it; an empty table gives an empty one; without
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, near_dedup, packing, pii, toxicity
-from graphloom.llm.common import documents, shared_dir
+from graphloom.lineage import clean, mark, new_path
+from graphloom.llm.common import documents
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +57,12 @@ ORACLE_SQL = None  # SQL can express neither the toxicity score nor the tokens
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written as Parquet and read again."""
+    """The stages one after the other, each written as Parquet and read again; what a stage has spooled goes once its result is written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/graphloom-pipeline-{name}-{uuid.uuid4().hex}"
+        path = new_path(spark, f"pipeline-{name}")
+        before = mark()
         stage(spark, docs, sf_dir).write.parquet(path)
+        clean(spark, before)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

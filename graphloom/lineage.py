@@ -2,27 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of this process's own only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, one of this process's own, which only a local master can share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        own = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, own, True)
+        _own_dirs[app] = "file://" + own
     return _own_dirs[app]
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, which ``clean`` knows."""
+    _written.append(f"{shared_dir(spark)}/graphloom-{tag}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     """Writes ``df`` once and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/graphloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """What ``clean`` takes to keep the tables written so far."""
+    return len(_written)
+
+
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables written after ``mark()`` gave ``since``; results that still read them must have been written first."""
+    jvm = spark._jvm
+    for path in _written[since:]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[since:]
