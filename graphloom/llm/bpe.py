@@ -56,9 +56,9 @@ class Bpe(dict):
         self.strings = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for s, i in [*vocab.items(), *self.special.items()]:
             self.strings[i] = s
-        self.ranks, self.made = {}, []  # a pair is one integer: left << 16 | right
+        self.ranks, self.made = {}, []  # a pair is one integer: left << 32 | right
         for rank, (a, b) in enumerate(data["model"]["merges"]):
-            self.ranks[vocab[a] << 16 | vocab[b]] = rank
+            self.ranks[vocab[a] << 32 | vocab[b]] = rank
             self.made.append(vocab[a + b])
         symbols = _byte_symbols()
         self.inner = [vocab[s] for s in symbols]
@@ -72,13 +72,13 @@ class Bpe(dict):
         n, rank_of, made = len(symbols), self.ranks.get, self.made
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         symbols.append(-1)  # the neighbour of either end, in no pair
-        queue = [r << 32 | i for i in range(n - 1) if (r := rank_of(symbols[i] << 16 | symbols[i + 1])) is not None]
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None]
         heapify(queue)
         while queue:
             entry = heappop(queue)
             i, rank = entry & 0xFFFFFFFF, entry >> 32
             j = nxt[i]
-            if rank_of(symbols[i] << 16 | symbols[j]) != rank:
+            if rank_of(symbols[i] << 32 | symbols[j]) != rank:
                 continue  # stale
             symbols[i] = new = made[rank]
             symbols[j] = -1
@@ -86,10 +86,10 @@ class Bpe(dict):
             nxt[j] = n
             if k < n:
                 prv[k] = i
-                if (r := rank_of(new << 16 | symbols[k])) is not None:
+                if (r := rank_of(new << 32 | symbols[k])) is not None:
                     heappush(queue, r << 32 | i)
             h = prv[i]
-            if h >= 0 and (r := rank_of(symbols[h] << 16 | new)) is not None:
+            if h >= 0 and (r := rank_of(symbols[h] << 32 | new)) is not None:
                 heappush(queue, r << 32 | h)
         return [s for s in symbols if s >= 0]
 

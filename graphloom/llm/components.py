@@ -1,24 +1,12 @@
-"""Connected components by contraction, for links that come out of a join."""
+"""Connected components of links that come out of a join."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from graphloom.llm.common import spool
+from graphloom.operators.components import weak_roots
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each component, for every node of ``links`` (a, b).
-
-    Each round sends a node to its smallest neighbour and contracts the links; what is left shrinks at least
-    by half in nodes. Nothing but a test for emptiness comes to the driver.
-    """
-    edges = spool(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "cc-edges")
-    roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    while not edges.isEmpty():
-        to = spool(edges.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to")), "cc-to")
-        roots = spool(roots.join(to.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "cc-roots")
-        edges = edges.join(to, "a").select(F.col("to").alias("x"), "b").join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        edges = spool(edges.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "cc-edges")
-    return roots
+    """(node, root): the smallest node of each component, for every node of ``links`` (a, b)."""
+    return weak_roots(links).withColumnRenamed("id", "node")

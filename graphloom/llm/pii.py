@@ -260,6 +260,8 @@ def exceptions(found: DataFrame, key: str) -> DataFrame:
     """(v, sur) of the entities that don't have their first surrogate; ``found`` has each distinct entity once, in v."""
     v, attempt, zero = F.col("v"), F.col("attempt"), F.lit(0)
     found = spool(found.select("v", kind_of(v).alias("kind")), "pii-found")
+    # a surrogate takes long beside the size of its row: even parts, not as few as the bytes would need
+    parts = max(8, found.count() // 2000)
     names = found.where("kind = 'name'").select("v", F.split("v", " ").alias("w"))
     words = names.select("v", F.explode(F.filter(F.transform("w", lambda w, i: F.when(is_surname(F.col("w"), w, i), w)), lambda w: w.isNotNull())).alias("word"))
     listed = words.select(F.col("word").alias("v")).distinct().select("v", F.lit("word").alias("kind"), zero.alias("attempt"))
@@ -271,7 +273,7 @@ def exceptions(found: DataFrame, key: str) -> DataFrame:
     agreed = told.where("own = 'n'").join(known, "person").select("v", "g")
     table = found.join(agreed, "v", "left").join(other, "v", "left").select("v", "kind", F.coalesce("g", gender_of(v)).alias("gender"), F.coalesce("surnames", F.create_map().cast("map<string,string>")).alias("surnames"), (F.col("g").isNotNull() | F.col("surnames").isNotNull()).alias("differs"), zero.alias("attempt"))
     make = lambda n: surrogate(v, key, n, F.col("gender"), F.col("surnames"))
-    return _settled(spool(table.withColumn("sur", make(zero)), "pii-entities"), lambda: make(attempt)).where("attempt > 0 OR differs").select("v", "sur")
+    return _settled(spool(table.repartition(parts, "v").withColumn("sur", make(zero)), "pii-entities"), lambda: make(attempt)).where("attempt > 0 OR differs").select("v", "sur")
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text", count: str | None = "n_entities") -> DataFrame:
