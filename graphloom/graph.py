@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.errors import EdgeNotFound, GraphConstructionError, NodeNotFound
+from graphloom.lineage import cut
 
 EDGE_SCHEMA = T.StructType([T.StructField("source", T.StringType()), T.StructField("target", T.StringType()), T.StructField("weight", T.DoubleType())])
 NODE_SCHEMA = T.StructType([T.StructField("id", T.StringType())])
@@ -25,6 +26,16 @@ def _named(df: DataFrame, wanted: tuple[str, ...], what: str) -> DataFrame:
     return df
 
 
+def settles(operator):
+    """An operator whose graph's tables are written once on entry, however often it reads them."""
+
+    @wraps(operator)
+    def run(graph: Graph, *args, **options):
+        return operator(graph.settled(), *args, **options)
+
+    return run
+
+
 class Graph:
     """A directed multigraph. ``vertices``: id and attributes; ``edges``: source, target, weight and attributes.
 
@@ -32,6 +43,9 @@ class Graph:
     kept: centralities count them, path operators take the lightest of them.
     """
 
+    inferred = False  # vertices are the edges' ends and nothing else
+    is_settled = False
+
     def __init__(self, vertices: DataFrame, edges: DataFrame):
         edges = _named(edges, ("source", "target"), "edges")
         weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
@@ -42,8 +56,10 @@ class Graph:
     @classmethod
     def from_edges(cls, edges: DataFrame) -> Graph:
         edges = _named(edges, ("source", "target"), "edges")
-        ids = edges.select(F.col("source").cast("string").alias("id")).unionByName(edges.select(F.col("target").cast("string").alias("id")))
-        return cls(ids.distinct(), edges)
+        ids = edges.select(F.explode(F.array(F.col("source").cast("string"), F.col("target").cast("string"))).alias("id"))
+        made = cls(ids.distinct(), edges)
+        made.inferred = True
+        return made
 
     @classmethod
     def from_tables(cls, vertices: DataFrame, edges: DataFrame) -> Graph:
@@ -67,11 +83,26 @@ class Graph:
     @cached_property
     def vertices(self) -> DataFrame:
         """All vertices, with the attributes of those that were declared."""
+        if self.inferred:
+            return self.declared
         ends = self.edges.select(F.col("source").alias("id")).unionByName(self.edges.select(F.col("target").alias("id"))).distinct()
         if self.declared.columns == ["id"]:
             return self.declared.unionByName(ends).distinct()
         return self.declared.unionByName(ends.join(self.declared.select("id"), "id", "left_anti"), allowMissingColumns=True)
 
+    def settled(self) -> Graph:
+        """This graph with its tables written once, for what reads them more than once."""
+        if self.is_settled:
+            return self
+        edges = cut(self.edges, "edges")
+        if self.inferred:
+            made = Graph.from_edges(edges)
+            made.declared = cut(made.declared, "vertices")
+        else:
+            made = Graph(cut(self.declared, "vertices"), edges)
+        made.is_settled = True
+        return made
+
     # accessors
 
     def node_ids(self) -> DataFrame:

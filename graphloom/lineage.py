@@ -7,10 +7,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _written: list[str] = []
+_tables: dict[str, str] = {}  # names of those written as tables
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,29 @@ def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_measured(df: DataFrame, tag: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates over all rows that the one job of writing them gathers."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(name) for name, c in measures.items()]), tag)
+    return out, seen.get
+
+
+def cut_counted(df: DataFrame, tag: str = "step") -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows written."""
+    out, seen = cut_measured(df, tag, rows=F.count(F.lit(1)))
+    return out, seen["rows"]
+
+
+def cut_bucketed(df: DataFrame, tag: str, *keys: str) -> DataFrame:
+    """``cut`` to a table with one bucket for each shuffle partition, so that joins on ``keys`` read it without a shuffle."""
+    spark = df.sparkSession
+    path, n = new_path(spark, tag), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"graphloom_{uuid.uuid4().hex}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    _tables[path] = name
+    return spark.table(name)
+
+
 def mark() -> int:
     """What ``clean`` takes to keep the tables written so far."""
     return len(_written)
@@ -50,6 +75,8 @@ def clean(spark: SparkSession, since: int = 0) -> None:
     """Deletes the tables written after ``mark()`` gave ``since``; results that still read them must have been written first."""
     jvm = spark._jvm
     for path in _written[since:]:
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     del _written[since:]

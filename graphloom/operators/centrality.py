@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import check, check_number
-from graphloom.graph import Graph
-from graphloom.lineage import cut
+from graphloom.graph import Graph, settles
+from graphloom.lineage import cut, cut_bucketed, cut_measured
 from graphloom.operators.paths import all_pairs
 
 
+@settles
 def pagerank(
     graph: Graph, damping_factor: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6, partition: Column | str | None = None, personal: DataFrame | None = None, top_k: int | None = None
 ) -> DataFrame:
@@ -23,29 +24,37 @@ def pagerank(
     check_number("damping_factor", damping_factor, 0, 1)
     check_number("max_iterations", max_iterations, above=0)
     check_number("tolerance", tolerance, above=0)
-    part = F.lit(0) if partition is None else F.col(partition) if isinstance(partition, str) else partition
-    e = graph.edges.select(part.alias("part"), "source", "target").groupBy("part", "source", "target").agg(F.count(F.lit(1)).alias("n"))
-    e = cut(e, "pagerank-counts")
-    out = e.groupBy("part", "source").agg(F.sum("n").alias("out"))
-    ends = e.select("part", F.explode(F.array("source", "target")).alias("id")).distinct() if partition is not None else graph.node_ids().select(F.lit(0).alias("part"), "id")
-    nodes = cut(ends.join(out.withColumnRenamed("source", "id"), ["part", "id"], "left").select("part", "id", F.col("out").isNull().alias("sink")), "pagerank-nodes")
-    shares = cut(e.join(out, ["part", "source"]).select("part", "source", "target", (F.col("n") / F.col("out")).alias("share")).repartition("part", "source"), "pagerank-shares")
-    sizes = cut(nodes.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "pagerank-sizes")
-    if personal is None:
-        nodes = cut(nodes.join(sizes, "part").select("part", "id", "sink", (1 / F.col("size")).alias("restart")), "pagerank-nodes")
-    else:
+    by = [] if partition is None else ["part"]  # the keys that tell graphs apart
+    named = [] if partition is None else [(F.col(partition) if isinstance(partition, str) else partition).alias("part")]
+    e = cut(graph.edges.select(*named, "source", "target").groupBy(*by, "source", "target").agg(F.count(F.lit(1)).alias("n")), "pagerank-counts")
+    out = e.groupBy(*by, "source").agg(F.sum("n").alias("out"))
+    ends = e.select(*by, F.explode(F.array("source", "target")).alias("id")).distinct() if by else cut(graph.node_ids(), "pagerank-ids")
+    sizes = ends.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    nodes = ends.join(out.withColumnRenamed("source", "id"), [*by, "id"], "left").select(*by, "id", F.col("out").isNull().alias("sink"))
+    if personal is not None:
         total = personal.agg(F.sum("weight")).first()[0]
         check(bool(total) and total > 0, "personal weights must add up to more than 0")
-        nodes = cut(nodes.join(personal.select("id", (F.col("weight") / float(total)).alias("w")), "id", "left").select("part", "id", "sink", F.coalesce("w", F.lit(0.0)).alias("restart")), "pagerank-nodes")
-    ranks = nodes.withColumn("score", F.col("restart"))
+        nodes = nodes.join(personal.select("id", (F.col("weight") / float(total)).alias("w")), "id", "left").select(*by, "id", "sink", F.coalesce("w", F.lit(0.0)).alias("restart"))
+    elif by:
+        nodes = nodes.join(sizes, by).select(*by, "id", "sink", (1 / F.col("size")).alias("restart"))
+    else:
+        nodes = nodes.withColumn("restart", F.lit(1 / max(1, sizes.first()[0])))
+    # read by every round: in buckets, so that only scores move
+    shares = cut_bucketed(e.join(out, [*by, "source"]).select(*by, "source", "target", (F.col("n") / F.col("out")).alias("share")), "pagerank-shares", *by, "source")
+    lost = F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0))
+    ranks, seen = cut_measured(nodes.withColumn("score", F.col("restart")), "pagerank", sunk=lost)
     d = float(damping_factor)
     for _ in range(max_iterations):
-        sunk = ranks.groupBy("part").agg(F.sum(F.when(F.col("sink"), F.col("score")).otherwise(0.0)).alias("sunk"))
-        got = ranks.where("NOT sink").select("part", F.col("id").alias("source"), "score").join(shares, ["part", "source"]).groupBy("part", F.col("target").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        step = ranks.join(got, ["part", "id"], "left").join(sunk, "part")
+        got = ranks.where("NOT sink").select(*by, F.col("id").alias("source"), "score").join(shares, [*by, "source"]).groupBy(*by, F.col("target").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        step = ranks.join(got, [*by, "id"], "left")
+        if by:
+            step = step.join(ranks.groupBy("part").agg(lost.alias("sunk")), "part")
+        else:
+            step = step.withColumn("sunk", F.lit(float(seen["sunk"])))
         new = (1 - d) * F.col("restart") + d * (F.coalesce("got", F.lit(0.0)) + F.col("sunk") * F.col("restart"))
-        ranks = cut(step.select("part", "id", "sink", "restart", new.alias("score"), F.abs(new - F.col("score")).alias("change")), "pagerank")
-        moved = ranks.groupBy("part").agg(F.sum("change").alias("c")).agg(F.max("c")).first()[0]
+        step = step.select(*by, "id", "sink", "restart", new.alias("score"), F.abs(new - F.col("score")).alias("change"))
+        ranks, seen = cut_measured(step, "pagerank", sunk=lost, moved=F.sum("change"))
+        moved = ranks.groupBy("part").agg(F.sum("change").alias("c")).agg(F.max("c")).first()[0] if by else seen["moved"]
         ranks = ranks.drop("change")
         if moved is None or moved < tolerance:
             break
@@ -61,17 +70,19 @@ def degrees(graph: Graph) -> DataFrame:
     return every.groupBy(F.col("id").alias("node_id")).agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.sum(F.col("i") + F.col("o")).alias("degree"))
 
 
+@settles
 def degree_centrality(graph: Graph) -> DataFrame:
     """(node_id, degree_centrality): out-degree over n - 1."""
     n = graph.node_count()
     return degrees(graph).select("node_id", (F.col("out_degree") / float(max(1, n - 1))).alias("degree_centrality"))
 
 
+@settles
 def eigenvector_centrality(graph: Graph, max_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(node_id, eigenvector_centrality): sums of in-neighbours' scores, L2-normalised, from an even start."""
     check_number("max_iterations", max_iterations, above=0)
     check_number("tolerance", tolerance, above=0)
-    edges = cut(graph.edges.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).repartition("source"), "eigen-edges")
+    edges = cut(graph.edges.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")), "eigen-edges")
     nodes = graph.node_ids()
     n = nodes.count()
     scores = cut(nodes.withColumn("score", F.lit(1 / n**0.5 if n else 0.0)), "eigen")
@@ -89,6 +100,7 @@ def eigenvector_centrality(graph: Graph, max_iterations: int = 100, tolerance: f
     return scores.select(F.col("id").alias("node_id"), F.col("score").alias("eigenvector_centrality")).orderBy(F.desc("eigenvector_centrality"), "node_id")
 
 
+@settles
 def closeness_centrality(graph: Graph, weighted: bool = False) -> DataFrame:
     """(node_id, closeness_centrality): (reached / (n - 1)) / mean distance over out-paths; 0 if nothing is reached."""
     n = graph.node_count()
@@ -97,13 +109,14 @@ def closeness_centrality(graph: Graph, weighted: bool = False) -> DataFrame:
     return graph.node_ids().join(got.withColumnRenamed("source", "id"), "id", "left").select(F.col("id").alias("node_id"), F.coalesce(score, F.lit(0.0)).alias("closeness_centrality"))
 
 
+@settles
 def betweenness_centrality(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     """(node_id, betweenness_centrality): unweighted, directed, times 2 / ((n-1)(n-2)) if n > 2.
 
     Path counts spread level by level from all sources at once; dependencies return level by level. ``sources``
     (id) restricts the start vertices.
     """
-    edges = cut(graph.edges.where("source != target").select(F.col("source").alias("u"), F.col("target").alias("v")).distinct().repartition("u"), "between-edges")
+    edges = cut(graph.edges.where("source != target").select(F.col("source").alias("u"), F.col("target").alias("v")).distinct(), "between-edges")
     nodes = graph.node_ids()
     n = nodes.count()
     start = sources.select("id") if sources is not None else nodes
@@ -134,6 +147,7 @@ def betweenness_centrality(graph: Graph, sources: DataFrame | None = None) -> Da
     return nodes.join(sums, "id", "left").select(F.col("id").alias("node_id"), (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness_centrality")).orderBy(F.desc("betweenness_centrality"), "node_id")
 
 
+@settles
 def pair_betweenness(graph: Graph) -> DataFrame:
     """(node_id, pairs): for how many ordered pairs a vertex lies on some shortest weighted path, whatever the number of paths."""
     d = cut(all_pairs(graph), "pair-distances")
@@ -144,6 +158,7 @@ def pair_betweenness(graph: Graph) -> DataFrame:
     return graph.node_ids().join(on, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 
+@settles
 def batch_centralities(graph: Graph) -> DataFrame:
     """(node_id, degree, eigenvector, closeness): closeness over weighted distances."""
     return (

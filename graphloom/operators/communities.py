@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import check_number
-from graphloom.graph import Graph
+from graphloom.graph import Graph, settles
 from graphloom.lineage import cut
 from graphloom.operators.components import dense_ids, weak_roots
 
@@ -20,6 +20,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "w").unionByName(edges.where("source != target").select(F.col("target").alias("id"), F.col("source").alias("other"), "w"))
 
 
+@settles
 def modularity(graph: Graph, communities: DataFrame, resolution: float = 1.0) -> float:
     """Directed-edge modularity of (node_id, community): inner share less the expected one."""
     edges = graph.edges.select("source", "target")
@@ -35,6 +36,7 @@ def modularity(graph: Graph, communities: DataFrame, resolution: float = 1.0) ->
     return inner - resolution * expected / m**2
 
 
+@settles
 def louvain(graph: Graph, resolution: float = 1.0, max_iterations: int = 10, refine: bool = False) -> DataFrame:
     """(node_id, community_id, community): dense number and smallest member.
 

@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from graphloom.graph import Graph
-from graphloom.lineage import cut
+from graphloom.graph import Graph, settles
+from graphloom.lineage import cut, cut_counted
+
+
+SMALL = 200_000  # links: as many as one task settles, whatever the graph's size
+
+
+def _settle(links: DataFrame) -> DataFrame:
+    """(a, to): the smallest member of the component of every end of at most ``SMALL`` links, by union-find in one task."""
+    kind = links.schema["a"].dataType
+
+    def run(batches):
+        parent = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        ids = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind)), pa.array([root(x) for x in ids], to_arrow_type(kind))], names=["a", "to"])
+
+    return links.select("a", "b").repartition(1).mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("to", kind)]))
 
 
 def weak_roots(links: DataFrame) -> DataFrame:
     """(id, root) of every end of ``links`` (a, b): the component's smallest id.
 
     Rounds of contraction: each vertex goes to its smallest neighbour, links between those that went to the same one
-    vanish. At least half of the vertices go each round, so rounds are logarithmic in the size of a component.
+    vanish. At least half of the vertices go each round, so rounds are logarithmic in the size of a component; once ``SMALL`` links are left, one task
+    settles them. A round writes its map of vertices, half as long as the one before, and the links that are left; the maps are
+    put together at the end, the smallest first.
     """
-    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "wcc-edges")
-    roots = edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct()
-    while not edges.isEmpty():
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+    edges, left = cut_counted(both, "wcc-edges")
+    maps = []
+    while left > SMALL:
         to = cut(edges.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")), "wcc-to")
-        roots = cut(roots.join(to.withColumnRenamed("a", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root")), "wcc-roots")
+        maps.append(to)
         there = to.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
-        edges = cut(edges.join(to, "a").join(there, "b").where("to != to_b").select(F.col("to").alias("a"), F.col("to_b").alias("b")).distinct(), "wcc-edges")
-    return roots
+        edges, left = cut_counted(edges.join(to, "a").join(there, "b").where("to != to_b").select(F.col("to").alias("a"), F.col("to_b").alias("b")).distinct(), "wcc-edges")
+    roots = _settle(edges)
+    for to in reversed(maps):
+        further = roots.select(F.col("a").alias("to"), F.col("to").alias("root"))
+        roots = to.join(further, "to", "left").select("a", F.coalesce("root", "to").alias("to"))
+    return cut(roots.select(F.col("a").alias("id"), F.col("to").alias("root")), "wcc-roots")
 
 
 def dense_ids(roots: DataFrame, root: str = "root") -> DataFrame:
@@ -39,11 +75,13 @@ def _numbered(graph: Graph, roots: DataFrame) -> DataFrame:
     return every.join(dense_ids(every), "root").select("node_id", F.col("number").alias("component_id"), F.col("root").alias("component"))
 
 
+@settles
 def weakly_connected_components(graph: Graph) -> DataFrame:
     """(node_id, component_id, component): dense number and smallest member."""
     return _numbered(graph, weak_roots(graph.edges.select(F.col("source").alias("a"), F.col("target").alias("b"))))
 
 
+@settles
 def strongly_connected_components(graph: Graph) -> DataFrame:
     """(node_id, component_id, component), by trimming and forward-backward colouring.
 

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import Unsupported, check, check_number
-from graphloom.graph import Graph
+from graphloom.graph import Graph, settles
 from graphloom.lineage import cut
 from graphloom.operators.walks import node2vec_walks, uniform
 
 
+@settles
 def node2vec(graph: Graph, dimension: int = 64, walk_length: int = 20, num_walks: int = 10, p: float = 1.0, q: float = 1.0, window: int = 5, iterations: int = 1, seed: int = 0) -> DataFrame:
     """(id, embedding): skip-gram over second-order walks."""
     walks = node2vec_walks(graph, walk_length, num_walks, p, q, seed)
@@ -61,6 +62,7 @@ def _dense(rows: DataFrame, column: str, weights: np.ndarray, bias: np.ndarray,
     return rows.withColumn(column, layer(F.col(column)))
 
 
+@settles
 def graph_sage(graph: Graph, features: DataFrame, weights: list[np.ndarray], how: str = "mean", activation: str = "relu") -> DataFrame:
     """(id, features) after one layer per weight matrix over [own, aggregated neighbours]; each is L2-normalised."""
     for w in weights:
@@ -84,6 +86,7 @@ def normalised_adjacency(graph: Graph, self_loops: bool = False) -> DataFrame:
     return near.join(of("source", "ds"), "source").join(of("target", "dt"), "target").select("source", "target", (1 / F.sqrt(F.col("ds") * F.col("dt"))).alias("weight"))
 
 
+@settles
 def gcn_forward(graph: Graph, features: DataFrame, weights: np.ndarray, bias: np.ndarray | None = None, activation: str = "relu", dropout: float = 0.0, seed: int = 0, self_loops: bool = False) -> DataFrame:
     """(id, features): activation(D^-1/2 A D^-1/2 X W + b); inverted dropout by hash on the input."""
     check_number("dropout", dropout, 0, 0.999)

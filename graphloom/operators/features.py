@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, settles
 from graphloom.lineage import cut
 from graphloom.operators.centrality import betweenness_centrality, closeness_centrality, degrees, pagerank
 from graphloom.operators.components import component_sizes, weakly_connected_components
@@ -13,6 +13,7 @@ from graphloom.operators.paths import multi_bfs
 from graphloom.operators.triangles import clustering_coefficient, triangles_per_node
 
 
+@settles
 def node_features(graph: Graph, exact: bool = True) -> DataFrame:
     """One row per vertex: degree and PageRank features, clustering, triangles, and path features from breadth-first search.
 
@@ -31,11 +32,13 @@ def node_features(graph: Graph, exact: bool = True) -> DataFrame:
     return out.withColumn("betweenness_proxy", F.col("degree") / float(max(1, n - 1))).join(share, "node_id")
 
 
+@settles
 def path_features(graph: Graph) -> DataFrame:
     """(node_id, eccentricity, mean_path, reached): over undirected hops, the vertex itself counted."""
     return multi_bfs(graph, graph.node_ids(), direction="both").groupBy(F.col("source").alias("node_id")).agg(F.max("depth").alias("eccentricity"), F.avg("depth").alias("mean_path"), F.count(F.lit(1)).alias("reached"))
 
 
+@settles
 def pair_features(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
     """(source, target, common_neighbors, jaccard, adamic_adar, preferential_attachment) of pairs, by default those that an edge joins.
 
@@ -56,6 +59,7 @@ def pair_features(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
     return out.select("source", "target", F.col("common").alias("common_neighbors"), F.coalesce(F.try_divide(F.col("common"), union), F.lit(0.0)).alias("jaccard"), F.col("aa").alias("adamic_adar"), (F.coalesce("ms", F.lit(0)) * F.coalesce("mt", F.lit(0))).alias("preferential_attachment"))
 
 
+@settles
 def graph_features(graph: Graph) -> DataFrame:
     """One row: counts, densities, clustering, components, degree moments, assortativity, diameter and radius of the undirected graph."""
     n, m = graph.node_count(), graph.edge_count()
@@ -73,6 +77,7 @@ def graph_features(graph: Graph) -> DataFrame:
     return graph.spark.createDataFrame([row], names)
 
 
+@settles
 def core_numbers(graph: Graph, max_core: int | None = None) -> DataFrame:
     """(node_id, core): the largest k for which the vertex is in the k-core of the undirected graph."""
     edges = cut(graph.symmetric_edges(), "core-edges")

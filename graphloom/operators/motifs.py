@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import check, check_number
-from graphloom.graph import Graph
+from graphloom.graph import Graph, settles
 from graphloom.lineage import cut
 
 
+@settles
 def motifs(graph: Graph, max_size: int = 3) -> DataFrame:
     """(nodes, nv, ne, degrees, kind flags): each connected vertex set of 2 to ``max_size`` vertices, once.
 
@@ -44,6 +45,7 @@ def classify(sets: DataFrame) -> DataFrame:
     })
 
 
+@settles
 def motif_counts(graph: Graph, max_size: int = 3, min_support: float = 0.0, predicate: Column | None = None) -> DataFrame:
     """(nv, ne, degrees, occurrences, support) by falling support; a class is size, edges and degree sequence."""
     m = motifs(graph, max_size)

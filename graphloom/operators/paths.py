@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import ComputationError, InvalidParameter, NodeNotFound, check, check_number
-from graphloom.graph import Graph
+from graphloom.graph import Graph, settles
 from graphloom.lineage import cut
 
 
+@settles
 def distances(graph: Graph, sources: DataFrame, weighted: bool = True, max_hops: int | None = None, with_paths: bool = False) -> DataFrame:
     """(source, id, distance[, path]) of every vertex reachable from each of ``sources`` (id), itself included.
 
@@ -22,7 +23,7 @@ def distances(graph: Graph, sources: DataFrame, weighted: bool = True, max_hops:
     edges = graph.simple_edges().select(F.col("source").alias("u"), F.col("target").alias("v"), (F.col("weight") if weighted else F.lit(1.0)).alias("w"))
     if weighted and not edges.where("w < 0").limit(1).isEmpty():
         raise ComputationError("shortest paths need weights of 0 or more")
-    edges = cut(edges.where("u != v").repartition("u"), "paths-edges")
+    edges = cut(edges.where("u != v"), "paths-edges")
     path = {"path": F.array("id")} if with_paths else {}
     best = cut(sources.select(F.col("id").alias("source"), "id").distinct().withColumns({"distance": F.lit(0.0), **path}), "paths")
     front, hop = best, 0
@@ -60,11 +61,13 @@ def shortest_path(graph: Graph, source: str, target: str | None = None) -> DataF
     return found
 
 
+@settles
 def all_pairs(graph: Graph, weighted: bool = True) -> DataFrame:
     """(source, target, distance) of all ordered pairs with a path, each vertex to itself included (0)."""
     return distances(graph, graph.node_ids(), weighted).select("source", F.col("id").alias("target"), "distance")
 
 
+@settles
 def shortest_path_batch(graph: Graph, pairs: DataFrame) -> DataFrame:
     """Adds the distance to rows of (source, target); null if there is no path."""
     got = distances(graph, pairs.select(F.col("source").alias("id")).distinct()).withColumnRenamed("id", "target")
@@ -77,11 +80,12 @@ def bfs(graph: Graph, source: str, max_depth: int | None = None, direction: str
     return multi_bfs(graph, _one(graph, source), max_depth, direction).select("id", "depth")
 
 
+@settles
 def multi_bfs(graph: Graph, sources: DataFrame, max_depth: int | None = None, direction: str = "out") -> DataFrame:
     """(source, id, depth) from each of ``sources`` (id): each round joins only the newest layer."""
     e = graph.edges.where("source != target").select(F.col("source").alias("u"), F.col("target").alias("v"))
     back = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    edges = cut({"out": e, "in": back, "both": e.unionByName(back)}[direction].distinct().repartition("u"), "bfs-edges")
+    edges = cut({"out": e, "in": back, "both": e.unionByName(back)}[direction].distinct(), "bfs-edges")
     seen = cut(sources.select(F.col("id").alias("source"), "id").distinct().withColumn("depth", F.lit(0)), "bfs")
     front, depth = seen, 0
     while max_depth is None or depth < max_depth:
@@ -94,6 +98,7 @@ def multi_bfs(graph: Graph, sources: DataFrame, max_depth: int | None = None, di
     return seen
 
 
+@settles
 def all_paths(graph: Graph, source: str, target: str, max_hops: int = 10) -> DataFrame:
     """(source, target, path_length, path): simple paths of at most ``max_hops`` edges that end at their first visit of the target."""
     check_number("max_hops", max_hops, low=1)
@@ -111,7 +116,7 @@ def recursive_paths(
     ``weight_threshold`` bounds the total weight. ``max_paths`` limits the result, as a feature.
     """
     check_number("max_depth", max_depth, low=0)
-    edges = cut(graph.edges.select(F.col("source").alias("u"), F.col("target").alias("v"), "weight").repartition("u"), "paths-edges")
+    edges = cut(graph.edges.select(F.col("source").alias("u"), F.col("target").alias("v"), "weight"), "paths-edges")
     layer = graph.vertices.where(F.col("id") == start).select(F.array("id").alias("nodes"), F.lit(0.0).alias("total_weight"), F.lit(0).alias("depth"))
     layers = [layer]
     for depth in range(1, max_depth + 1):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.errors import check_number
-from graphloom.graph import Graph
+from graphloom.graph import Graph, settles
 from graphloom.lineage import cut
 from graphloom.operators.motifs import motif_counts
 from graphloom.operators.paths import multi_bfs
@@ -62,6 +62,7 @@ def nearest_neighbours(vectors: DataFrame, k: int, id_col: str = "id", vector_co
     return met.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+@settles
 def weisfeiler_lehman(graph: Graph, rounds: int = 3, labels: DataFrame | None = None) -> DataFrame:
     """(round, label, n): histogram of labels that rounds of (label, sorted neighbour labels) give."""
     check_number("rounds", rounds, low=0)
@@ -93,6 +94,7 @@ def graphlet_kernel(a: Graph, b: Graph, size: int = 3) -> float:
     return _overlap(of(a), of(b), ["nv", "ne", "degrees"])
 
 
+@settles
 def path_length_histogram(graph: Graph, longest: int = 10) -> DataFrame:
     """(length, n): ordered pairs by undirected distance, from 1 to ``longest``."""
     return multi_bfs(graph, graph.node_ids(), longest, "both").where("depth > 0").groupBy(F.col("depth").alias("length")).agg(F.count(F.lit(1)).alias("n"))

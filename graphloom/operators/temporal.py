@@ -54,7 +54,7 @@ def temporal_paths(edges: DataFrame, source: str, target: str, start: int | None
     check_number("max_hops", max_hops, low=1)
     e = edges if start is None and end is None else in_window(edges, -(1 << 62) if start is None else start, (1 << 62) if end is None else end)
     weight = F.coalesce("weight", F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
-    e = cut(e.select(F.col("source").alias("u"), F.col("target").alias("v"), F.col("timestamp").alias("t"), weight.alias("w")).repartition("u"), "temporal-edges")
+    e = cut(e.select(F.col("source").alias("u"), F.col("target").alias("v"), F.col("timestamp").alias("t"), weight.alias("w")), "temporal-edges")
     layer = e.where(F.col("u") == source).where("u != v").select(F.array("u", "v").alias("nodes"), F.array("t").alias("timestamps"), F.col("w").alias("total_weight"), F.lit(1).alias("hops"))
     found = None
     for hop in range(1, max_hops + 1):

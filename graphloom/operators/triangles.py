@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import check
-from graphloom.graph import Graph
+from graphloom.graph import Graph, settles
 from graphloom.lineage import cut
 
 
@@ -30,12 +30,14 @@ def triangle_count(graph: Graph) -> DataFrame:
     return triangles(graph).agg(F.count(F.lit(1)).alias("value")).select(F.lit("triangle_count").alias("metric"), "value")
 
 
+@settles
 def triangles_per_node(graph: Graph) -> DataFrame:
     """(node_id, triangles) of every vertex."""
     corners = triangles(graph).select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("t"))
     return graph.node_ids().join(corners, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("t", F.lit(0)).alias("triangles"))
 
 
+@settles
 def clustering_coefficient(graph: Graph, mode: str = "local", degree: str = "undirected") -> DataFrame:
     """mode local: (node_id, clustering_coefficient), global: (metric, value).
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.errors import check_number
-from graphloom.graph import Graph
+from graphloom.graph import Graph, settles
 from graphloom.lineage import cut
 
 
@@ -23,6 +23,7 @@ def _starts(graph: Graph, start_nodes, num_walks: int) -> DataFrame:
     return walks.select(F.concat("id", F.lit("#"), F.col("k").cast("string")).alias("walk_id"), F.col("id").alias("node_id"), F.lit(0).alias("step"))
 
 
+@settles
 def random_walk(graph: Graph, walk_length: int = 10, num_walks: int = 10, seed: int = 0, start_nodes=None) -> DataFrame:
     """(walk_id, step, node_id): uniform over out-edges, parallel ones counted; a walk ends where there is none.
 
@@ -31,7 +32,7 @@ def random_walk(graph: Graph, walk_length: int = 10, num_walks: int = 10, seed:
     check_number("walk_length", walk_length, low=1)
     check_number("num_walks", num_walks, low=1)
     place = F.row_number().over(Window.partitionBy("source").orderBy("target", "weight")) - 1
-    edges = cut(graph.edges.select("source", "target", place.alias("nth")).repartition("source"), "walk-edges")
+    edges = cut(graph.edges.select("source", "target", place.alias("nth")), "walk-edges")
     sizes = cut(edges.groupBy("source").agg(F.count(F.lit(1)).alias("size")), "walk-sizes")
     layers = [cut(_starts(graph, start_nodes, num_walks), "walk")]
     for step in range(1, walk_length):
@@ -41,13 +42,14 @@ def random_walk(graph: Graph, walk_length: int = 10, num_walks: int = 10, seed:
     return reduce(DataFrame.unionByName, layers).select("walk_id", "step", "node_id")
 
 
+@settles
 def node2vec_walks(graph: Graph, walk_length: int = 80, num_walks: int = 10, p: float = 1.0, q: float = 1.0, seed: int = 0, start_nodes=None) -> DataFrame:
     """(walk_id, step, node_id, p_param, q_param): second-order walks, weight times 1/p back, 1 to a neighbour of the previous vertex, else 1/q."""
     check_number("walk_length", walk_length, low=2)
     check_number("num_walks", num_walks, low=1)
     check_number("p", p, above=0)
     check_number("q", q, above=0)
-    edges = cut(graph.edges.groupBy("source", "target").agg(F.sum("weight").alias("weight")).repartition("source"), "n2v-edges")
+    edges = cut(graph.edges.groupBy("source", "target").agg(F.sum("weight").alias("weight")), "n2v-edges")
     known = edges.select(F.col("source").alias("prev"), F.col("target").alias("next"), F.lit(True).alias("near"))
     layers = [cut(_starts(graph, start_nodes, num_walks).withColumn("prev", F.lit(None).cast("string")), "n2v")]
     for step in range(1, walk_length):
@@ -63,6 +65,7 @@ def node2vec_walks(graph: Graph, walk_length: int = 80, num_walks: int = 10, p:
     return reduce(DataFrame.unionByName, layers).select("walk_id", "step", "node_id", F.lit(float(p)).alias("p_param"), F.lit(float(q)).alias("q_param"))
 
 
+@settles
 def transition_probabilities(graph: Graph, p: float = 1.0, q: float = 1.0) -> DataFrame:
     """(prev, source, next, probability) of second-order walks over symmetric edges."""
     near = cut(graph.symmetric_edges(), "n2v-near")
