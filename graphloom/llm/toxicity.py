@@ -178,7 +178,9 @@ class Reader(dict):
     def tokens(self, text: bytes) -> set[bytes]:
         """The distinct tokens of a text, and what its spaced words are without their spaces doubled."""
         text = text.lower()
-        out = {w for part in stretches(text) for w in part.split()}
+        out = set()
+        for part in stretches(text):
+            out.update(part.split())
         for m in SPACED.finditer(text):
             if b" " in m[0] or b"\t" in m[0]:
                 out.add(b" ".join(m[0].split()))
