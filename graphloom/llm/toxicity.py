@@ -188,7 +188,7 @@ class Reader(dict):
 
     def score(self, text: bytes) -> float:
         """Sum over distinct words of the weight of their strongest feature."""
-        found = {f: x for hit in map(self.__getitem__, self.tokens(text)) for f, x in hit}
+        found = {f: x for hit in filter(None, map(self.__getitem__, self.tokens(text))) for f, x in hit}  # most tokens have no weight
         return sum(found.values())
 
 
@@ -287,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         for b in batches:
             for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[toxic > 0].update({f for fs in map(reader.__getitem__, reader.tokens(t)) for f in fs})
+                held[toxic > 0].update(set().union(*map(reader.__getitem__, reader.tokens(t))))
                 if len(held[0]) + len(held[1]) > MEMORY // 2:
                     yield rows()
                     held = Counter(), Counter()
