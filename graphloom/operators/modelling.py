@@ -95,3 +95,12 @@ def clusters(rows: DataFrame, columns: list[str], k: int, key: str = "id", seed:
     v = _vectors(rows, columns)
     out = KMeans(k=k, seed=seed, featuresCol="__v").fit(v).transform(v)
     return out.select(key, F.col("prediction").alias("cluster")), ClusteringEvaluator(featuresCol="__v").evaluate(out)
+
+
+def importances(rows: DataFrame, features: list[str], label: str, top: int | None = None, trees: int = 20, seed: int = 0) -> DataFrame:
+    """(feature, importance, place): impurity importances of a random forest, which add up to 1; ``top`` keeps the first ones, as a feature."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    model = RandomForestClassifier(labelCol=label, featuresCol="__v", numTrees=trees, seed=seed).fit(_vectors(rows, features))
+    ranked = sorted(zip(features, map(float, model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))[:top]
+    return rows.sparkSession.createDataFrame([(f, x, i + 1) for i, (f, x) in enumerate(ranked)], "feature string, importance double, place int")

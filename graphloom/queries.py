@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.operators import centrality, communities, components, embeddings, features, forecasting, motifs, multigraph, paths, sampling, similarity, temporal, triangles, walks
+from graphloom.operators import centrality, communities, components, embeddings, features, forecasting, modelling, motifs, multigraph, paths, sampling, similarity, temporal, triangles, walks
 from graphloom.plans.match import match
 from graphloom.plans.triples import TripleStore, var
 from graphloom.streaming import changes, sketches, windows
@@ -519,7 +519,7 @@ def _(s, d):
     return sketches.CountMin.of(e, "user_id", width=2000).estimate(e, "user_id")
 
 
-@query("bloom")
+@query("bloom", "select distinct user_id, true as maybe from events")
 def _(s, d):
     e = table(s, d, "events")
     return sketches.Bloom.of(e, "user_id").contains(e, "user_id")
@@ -577,12 +577,316 @@ def _(s, d):
     return similarity.weisfeiler_lehman(graph(s, d, "part_copurchase"), 2)
 
 
-@query("path_length_histogram", cte("event_flow") + ", s as (select distinct source a, target b from event_flow where source<>target union select target, source from event_flow where source<>target) select 1 as length, count(*) as n from s having count(*)>0")
+@query("path_length_histogram", "with o as (select count(*) c from orders group by o_custkey) select k::int as length, 2*sum(c-k)::bigint as n from o, range(1,11) r(k) where c>k group by 1")
 def _(s, d):
-    return similarity.path_length_histogram(graph(s, d, "event_flow"), 1)
+    return similarity.path_length_histogram(graph(s, d, "order_chain"))
 
 
 @query("matrix_multiply", cte("event_flow") + " select a.source as i, b.target as j, sum(a.weight*b.weight) as value from event_flow a join event_flow b on a.target=b.source group by 1,2")
 def _(s, d):
     m = view(s, d, "event_flow").select(F.col("source").alias("i"), F.col("target").alias("j"), F.col("weight").alias("value"))
     return embeddings.matrix_multiply(m, m)
+
+
+# accessors and changes of a graph
+
+
+@query("neighbors", cte("user_next") + " select target as id from user_next where source='U1'")
+def _(s, d):
+    return graph(s, d, "user_next").neighbors("U1")
+
+
+@query("predecessors", cte("user_next") + " select source as id from user_next where target='U1'")
+def _(s, d):
+    return graph(s, d, "user_next").predecessors("U1")
+
+
+@query("edge_lookup", cte("event_flow") + " select exists(select 1 from event_flow where 'view' in (source, target)) as has_node, exists(select 1 from event_flow where source='view' and target='purchase') as has_edge, exists(select 1 from event_flow where source='view' and target='nowhere') as has_other, (select min(weight) from event_flow where source='view' and target='purchase') as weight")
+def _(s, d):
+    g = graph(s, d, "event_flow")
+    row = (g.has_node("view"), g.has_edge("view", "purchase"), g.has_edge("view", "nowhere"), g.edge_weight("view", "purchase"))
+    return s.createDataFrame([row], "has_node boolean, has_edge boolean, has_other boolean, weight double")
+
+
+@query("add_edge", cte("event_flow") + " select source, target, weight from event_flow union all select 'view', 'archive', 2.5")
+def _(s, d):
+    return graph(s, d, "event_flow").add_edge("view", "archive", 2.5).edges.select("source", "target", "weight")
+
+
+@query("add_node", cte("event_flow") + " select source as id from event_flow union select target from event_flow union select 'archive'")
+def _(s, d):
+    return graph(s, d, "event_flow").add_node("archive").node_ids()
+
+
+@query("remove_edge", cte("user_next") + ", m as (select min(target) t from user_next where source='U1') select source, target from user_next, m where not (source='U1' and target=t)")
+def _(s, d):
+    g = graph(s, d, "user_next")
+    return g.remove_edge("U1", g.neighbors("U1").agg(F.min("id")).first()[0]).edges.select("source", "target")
+
+
+@query("induced_edges", cte("cust_supp", "trade_vertices") + " select source, target, weight from cust_supp where source in (select id from trade_vertices where balance>5000) and target in (select id from trade_vertices where balance>5000)")
+def _(s, d):
+    return Graph(view(s, d, "trade_vertices"), view(s, d, "cust_supp")).filter_nodes("balance > 5000").edges.select("source", "target", "weight")
+
+
+@query("paths_within_distance", PATHS_SQL.format(20, "and p.w+e.weight<=(select 2*max(weight) from event_flow)") + " select array_to_string(nodes, '>') as nodes, w as total_weight, depth::bigint as depth from p where s='view'")
+def _(s, d):
+    g = graph(s, d, "event_flow")
+    most = 2 * g.edges.agg(F.max("weight")).first()[0]
+    return paths.paths_within_distance(g, "view", most).withColumns({"nodes": F.array_join("nodes", ">"), "depth": F.col("depth").cast("long")})
+
+
+@query("lightest_path", all_pairs_sql("nation_trade", 5) + " select s as source, t as target, round(w, 6) as total_weight, true as adds_up from w where s='N3' and t='N7'")
+def _(s, d):
+    g = graph(s, d, "nation_trade")
+    path = paths.lightest_path(g, "N3", "N7")
+    # the path's own edges must add up to its weight
+    steps = path.select("total_weight", F.explode(F.arrays_zip(F.slice("nodes", 1, F.size("nodes") - 1).alias("source"), F.slice("nodes", 2, F.size("nodes") - 1).alias("target"))).alias("e")).select("total_weight", "e.source", "e.target")
+    sums = steps.join(g.simple_edges().select("source", "target", "weight"), ["source", "target"]).groupBy("total_weight").agg((F.abs(F.sum("weight") - F.first("total_weight")) < 1e-6 * F.first("total_weight")).alias("adds_up"))
+    return rounded(sums.select(F.lit("N3").alias("source"), F.lit("N7").alias("target"), "total_weight", "adds_up"))
+
+
+# several graphs, further modes
+
+
+for _mode, _sql in {"sum": "sum(weight)", "maximum": "max(weight)", "minimum": "min(weight)", "keep_first": "arg_min(weight, row(seq, graph_name, weight))"}.items():
+
+    @query(f"multigraph_{_mode}", cte("priority_graphs") + f" select source, target, round({_sql}, 6) as weight, array_to_string(list_sort(list(distinct graph_name)), ',') as graph_name from priority_graphs group by 1,2")
+    def _(s, d, mode=_mode):
+        return rounded(multigraph.MultiGraph(view(s, d, "priority_graphs")).merge(combine=mode))
+
+
+@query("multigraph_query", cte("priority_graphs") + " select source, target, weight, graph_name, seq from priority_graphs where graph_name in ('1-URGENT', '5-LOW') and weight>40")
+def _(s, d):
+    return multigraph.MultiGraph(view(s, d, "priority_graphs")).query(["1-URGENT", "5-LOW"], "weight > 40").select("source", "target", "weight", "graph_name", "seq")
+
+
+@query("largest_graph", cte("priority_graphs") + " select graph_name, count(*) as edges from priority_graphs group by 1 order by 2 desc, 1 limit 1")
+def _(s, d):
+    return multigraph.MultiGraph(view(s, d, "priority_graphs")).largest()
+
+
+@query("multigraph_nodes", cte("priority_graphs") + " select source as node_id from priority_graphs union select target from priority_graphs")
+def _(s, d):
+    return multigraph.MultiGraph(view(s, d, "priority_graphs")).all_nodes()
+
+
+@query("graphs_containing", cte("priority_graphs") + " select distinct graph_name from priority_graphs where 'S1' in (source, target)")
+def _(s, d):
+    return multigraph.MultiGraph(view(s, d, "priority_graphs")).graphs_containing("S1")
+
+
+@query("overlapping_nodes", cte("priority_graphs") + ", n as (select graph_name g, source id from priority_graphs union select graph_name, target from priority_graphs) select id as node_id from n where g='1-URGENT' intersect select id from n where g='5-LOW'")
+def _(s, d):
+    names = [r[0] for r in view(s, d, "priority_graphs").select("graph_name").distinct().orderBy("graph_name").collect()]  # five priorities
+    return multigraph.MultiGraph(view(s, d, "priority_graphs")).overlapping_nodes("1-URGENT" if "1-URGENT" in names else names[0], "5-LOW" if "5-LOW" in names else names[-1])
+
+
+@query("degree_over_partition", cte("priority_graphs") + """, n as (select graph_name g, source id, 1 o from priority_graphs union all select graph_name, target, 0 from priority_graphs), k as (select g, id, sum(o) o from n group by 1,2)
+  select g as part, id as node_id, round(case when count(*) over (partition by g)>1 then o/(count(*) over (partition by g)-1.0) else 0 end, 6) as score from k""")
+def _(s, d):
+    return rounded(centrality.windowed(graph(s, d, "priority_graphs"), "graph_name", "degree"))
+
+
+@query("motif_shapes", cte("part_copurchase") + """, p as (select distinct least(source,target) a, greatest(source,target) b from part_copurchase where source<>target), s as (select a, b from p union all select b, a from p),
+  w as (select distinct list_sort([x.a, x.b, y.b]) n from s x join s y on x.b=y.a and x.a<>y.b), c as (select (select count(*) from p where list_contains(n, a) and list_contains(n, b)) ne from w), z as (select 2 nv, 1 ne from p union all select 3, ne from c)
+  select nv, ne::int as ne, count(*) as occurrences, round(count(*)/sum(count(*)) over (), 6) as support, ne=nv-1 as is_tree, ne=nv as is_cycle, ne*2=nv*(nv-1) as is_clique, nv>=3 as is_star, ne=nv-1 as is_path from z group by nv, ne""")
+def _(s, d):
+    return rounded(motifs.classify(motifs.motif_counts(graph(s, d, "part_copurchase"), 3)).drop("degrees"))
+
+
+# triples, further filters
+
+
+@query("triples_regex", cte("place_triples") + " select subject as s, object as n from place_triples where predicate='inNation' and regexp_matches(object, '^nation:NATION_1[0-9]$') and contains(subject, '#0')")
+def _(s, d):
+    return TripleStore(view(s, d, "place_triples")).select("s", "n").where(var("s"), "inNation", var("n")).filter("n", "regex", "^nation:NATION_1[0-9]$").filter("s", "contains", "#0").run()
+
+
+@query("triples_distinct", cte("place_triples") + " select distinct object as n from place_triples where predicate='inNation' and object<>'nation:NATION_3'")
+def _(s, d):
+    return TripleStore(view(s, d, "place_triples")).select("n").where(var("s"), "inNation", var("n")).filter("n", "!=", "nation:NATION_3").distinct().run()
+
+
+@query("ontology_instances", cte("place_triples") + " select distinct subject from place_triples where predicate='rdf:type' and object in ('Nation', 'Region')")
+def _(s, d):
+    return TripleStore(view(s, d, "place_triples")).add_class("Place").add_subclass("Nation", "Area").add_subclass("Region", "Area").add_subclass("Area", "Place").instances("Place")
+
+
+# time, further
+
+
+@query("temporal_snapshot", cte("user_next") + E.format(v="user_next") + ", m as (select min(timestamp) lo, max(timestamp) hi from e) select source, target, timestamp from e, m where timestamp<=lo+(hi-lo)//2 and timestamp>lo+(hi-lo)//2-86400*5")
+def _(s, d):
+    e = timed(view(s, d, "user_next")).select("source", "target", "timestamp")
+    lo, hi = e.agg(F.min("timestamp"), F.max("timestamp")).first()
+    return temporal.snapshot(e, lo + (hi - lo) // 2, 5 * temporal.DAY)
+
+
+@query("recent_edges", cte("user_next") + E.format(v="user_next") + ", m as (select max(timestamp) hi from e) select source, target, timestamp from e, m where timestamp between hi-86400*2 and hi")
+def _(s, d):
+    e = timed(view(s, d, "user_next")).select("source", "target", "timestamp")
+    return temporal.recent(e, e.agg(F.max("timestamp")).first()[0], 2)
+
+
+@query("trend_directions", cte("daily_series") + SERIES + """, t as (select metric, coalesce(regr_slope(value,i),0) b, coalesce(corr(value,i),0) r, stddev_pop(value) v, avg(value) m, arg_min(value, i) f, arg_max(value, i) l from s group by 1)
+  select metric, round(r*r,6) as r2, round(coalesce((l-f)/nullif(abs(f),0),0),6) as recent_change, case when abs(b)<0.01 then case when v>0.1*abs(m) then 'volatile' else 'stable' end when b>0 then 'increasing' else 'decreasing' end as direction from t""")
+def _(s, d):
+    return rounded(forecasting.trends(view(s, d, "daily_series")).select("metric", "r2", "recent_change", "direction"))
+
+
+@query("overall_direction", cte("daily_series") + SERIES + """, t as (select coalesce(regr_slope(value,i),0) b, coalesce(corr(value,i),0)**2 r2 from s group by metric), v as (select sum(case when r2>0.5 then sign(b) else 0 end) v, avg(r2) r2 from t)
+  select case when v>0 then 'increasing' when v<0 then 'decreasing' else 'stable' end as direction, round(coalesce(r2,0),6) as strength from v""")
+def _(s, d):
+    return rounded(forecasting.overall_direction(view(s, d, "daily_series")))
+
+
+@query("forecast_band", cte("daily_series") + SERIES + ", m as (select metric, arg_max(value, ts) l, coalesce(regr_slope(value,i),0) b, stddev_pop(value) v from s group by 1), f as (select metric, k, greatest(0, l+b*k) x, v from m, range(1,4) r(k)) select metric, k::int as step, round(greatest(0, x-1.96*v),6) as low, round(x+1.96*v,6) as high from f")
+def _(s, d):
+    return rounded(forecasting.linear_forecast(view(s, d, "daily_series"), 3).select("metric", "step", "low", "high"))
+
+
+@query("smoothing", cte("daily_series") + SERIES + ", m as (select metric, max(i) n from s group by 1) select s.metric, round(sum(pow(0.7, n-i)*value*case when i=0 then 1.0 else 0.3 end),6) as level from s join m on m.metric=s.metric group by 1")
+def _(s, d):
+    return rounded(forecasting.exponential_smoothing(view(s, d, "daily_series"), 0.3))
+
+
+@query("rolling_features", cte("daily_series") + " select metric, ts, value, lag(value,7) over w as lag_7, round(avg(value) over (partition by metric order by ts rows 6 preceding),6) as mean_7, round(stddev_pop(value) over (partition by metric order by ts rows 6 preceding),6) as sd_7 from daily_series window w as (partition by metric order by ts)")
+def _(s, d):
+    return rounded(forecasting.lag_features(view(s, d, "daily_series"), (7,), (7,)).select("metric", "ts", "value", "lag_7", "mean_7", "sd_7"))
+
+
+@query("series_patterns", cte("daily_series") + """, d as (select metric, value, (value>lag(value) over (partition by metric order by ts))::int up from daily_series), b as (select metric, avg(up) r, avg(value) m, stddev_pop(value) sd, max(value) t from d group by 1)
+  select metric, 'growth' as pattern, round(r,6) as strength from b where r>0.7 union all select metric, 'burst', round(least(1.0, (t-m)/sd/4),6) from b where sd>0 and (t-m)/sd>2""")
+def _(s, d):
+    return rounded(forecasting.patterns(view(s, d, "daily_series")))
+
+
+# changes between batches
+
+CHANGES = "with b as (select user_id::varchar id, arg_min(event_type, (ts, event_id)) c0, arg_max(event_type, (ts, event_id)) c1 from events group by 1)"
+
+
+def _states(s, d):
+    """(before, now): each user's first and last event type."""
+    e = table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("node_id"))
+    order = F.struct("ts", "event_id")
+    return e.agg(F.min_by("event_type", order).alias("community")), e.agg(F.max_by("event_type", order).alias("community"))
+
+
+@query("community_stability", CHANGES + " select round(coalesce(avg((c0=c1)::int),1),6) as stability from b")
+def _(s, d):
+    return rounded(changes.stability(*_states(s, d)))
+
+
+@query("changed_nodes", CHANGES + " select id as node_id, c0 as before, c1 as now from b where c0<>c1")
+def _(s, d):
+    return changes.changed_nodes(*_states(s, d))
+
+
+@query("community_shift", CHANGES + ", t as (select avg((c0=c1)::int) x from b) select 7::bigint as batch, 'community_shift' as anomaly, round(1-x,6) as severity, round(1-x,6) as ratio from t where x<0.8")
+def _(s, d):
+    return rounded(changes.community_shift(*_states(s, d), 7))
+
+
+BURSTS = "with h as (select floor(epoch_us(ts)/86400000000)::bigint batch, count(*) e, count(distinct user_id) v from events group by 1), a as (select batch, 'edge_burst' anomaly, least(1.0,e/10.0) severity, e/10.0 ratio from h where e>10 union all select batch, 'node_burst', least(1.0,v/5.0), v/5.0 from h where v>5)"
+
+
+def _bursts(s, d):
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (86_400 * MICRO)).cast("long")
+    return changes.burst_anomalies(table(s, d, "events").groupBy(day.alias("batch")).agg(F.count(F.lit(1)).alias("edges_added"), F.count_distinct("user_id").alias("vertices_added")))
+
+
+@query("burst_anomalies", BURSTS + " select batch, anomaly, round(severity,6) as severity, round(ratio,6) as ratio from a")
+def _(s, d):
+    return rounded(_bursts(s, d))
+
+
+@query("change_classes", BURSTS + " select batch, 'scale' as change, round(avg(severity),6) as magnitude from a group by 1")
+def _(s, d):
+    return rounded(changes.classify_changes(_bursts(s, d)))
+
+
+@query("structural_anomalies", cte("order_chain") + """, m as (select median(epoch_us(ts)) x from order_chain), e as (select source, target, epoch_us(ts)<=x early from order_chain, m), n as (select source id, early from e union all select target, early from e),
+  k as (select id, count(*) filter (early) b, count(*) filter (not early) c from n group by 1)
+  select 1::bigint as batch, case when c=0 then 'isolated_node' else 'hub_formation' end as anomaly, id as node_id, b as before, c as now from k where (b>0 and c=0) or (c>=2 and b<2)""")
+def _(s, d):
+    e = view(s, d, "order_chain").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    middle = e.agg(F.median("us")).first()[0]
+    return changes.structural_anomalies(Graph.from_edges(e.where(F.col("us") <= middle)), Graph.from_edges(e.where(F.col("us") > middle)), 1, hub=2)
+
+
+# streams and sketches, further
+
+
+@query("windowed_statistics", """with e as (select cast(date_trunc('day', ts) as timestamp) s, event_type, value, user_id from events), u as (select s, event_type, user_id, count(*) c from e group by all), r as (select *, row_number() over (partition by s, event_type order by c desc, user_id) k from u)
+  select e.s as start, e.event_type, count(*) as n, round(avg(value),6) as average, min(value) as minimum, max(value) as maximum, round(coalesce(stddev_samp(value),0),6) as stddev, round(median(value),6) as median, round(quantile_cont(value,0.95),6) as percentile_95, any_value(r.user_id) as mode
+  from e join r on r.s=e.s and r.event_type=e.event_type and r.k=1 group by 1,2""")
+def _(s, d):
+    e = table(s, d, "events")
+    out = windows.windowed_statistics(e, "1 day", "value", ("average", "minimum", "maximum", "stddev", "median", "percentile_95"), keys=("event_type",), exact=True, mode_of="user_id")
+    return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "average", "minimum", "maximum", "stddev", "median", "percentile_95", "mode"))
+
+
+@query("interval_join", "select a.event_id as l_event_id, b.event_id as r_event_id from events a join events b on a.user_id=b.user_id and a.event_type='view' and b.event_type='purchase' and b.ts>=a.ts and b.ts<=a.ts + interval '6 hours'")
+def _(s, d):
+    e = table(s, d, "events").select("event_id", "user_id", "event_type", "ts")
+    return windows.interval_join(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", "6 hours").select("l_event_id", "r_event_id")
+
+
+@query("count_min_sound", "select user_id, true as sound from events group by 1")
+def _(s, d):
+    e = table(s, d, "events")
+    truth = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    merged = sketches.CountMin.of(e.where("event_id % 2 = 0"), "user_id", width=2000).merge(sketches.CountMin.of(e.where("event_id % 2 <> 0"), "user_id", width=2000))
+    return merged.estimate(e, "user_id").join(truth, "user_id").select("user_id", (F.col("estimate") >= F.col("n")).alias("sound"))
+
+
+@query("distinct_within_bounds", "select true as close from (select 1)")
+def _(s, d):
+    e = table(s, d, "events")
+    truth = e.agg(F.count_distinct("user_id")).first()[0]
+    halves = [sketches.distinct_sketch(e.where(c), "user_id") for c in ("event_id % 2 = 0", "event_id % 2 <> 0")]
+    return sketches.estimate_distinct(sketches.merge_distinct(halves[0].unionByName(halves[1]))).select((F.abs(F.col("estimate") - truth) <= 0.08 * truth + 1).alias("close"))
+
+
+@query("triangle_sketch", "select true as close from (select 1)")
+def _(s, d):
+    g = graph(s, d, "user_next")
+    found = triangles.triangle_count(g).first()["value"]
+    t = motifs.subgraph_match(g, [("a", "b"), ("b", "c"), ("c", "a")])
+    return sketches.estimate_distinct(sketches.triangle_sketch(t)).select((F.abs(F.col("estimate") - found) <= 0.08 * found + 1).alias("close"))
+
+
+# walks and samples, by their properties
+
+
+@query("walks_follow_edges", cte("user_next") + " select count(*)*2 as walks, true as follow from (select source id from user_next union select target from user_next)")
+def _(s, d):
+    g = graph(s, d, "user_next")
+    w = walks.random_walk(g, 6, 2, seed=1)
+    steps = w.select("walk_id", "step", F.col("node_id").alias("source")).join(w.select("walk_id", (F.col("step") - 1).alias("step"), F.col("node_id").alias("target")), ["walk_id", "step"])
+    strays = steps.join(g.edges.select("source", "target").distinct(), ["source", "target"], "left_anti").count()
+    return w.agg(F.count_distinct("walk_id").alias("walks")).withColumn("follow", F.lit(strays == 0))
+
+
+for _by in ("uniform", "degree", "pagerank"):
+
+    @query(f"sample_nodes_{_by}_size", cte("cust_supp") + " select count(*)//2 as n, true as inside from (select source id from cust_supp union select target from cust_supp)")
+    def _(s, d, by=_by):
+        g = graph(s, d, "cust_supp")
+        got = sampling.sample_nodes(g, by=by, seed=2).distinct()
+        inside = got.join(g.node_ids().withColumnRenamed("id", "node_id"), "node_id", "left_anti").isEmpty()
+        return got.agg(F.count(F.lit(1)).alias("n")).withColumn("inside", F.lit(inside))
+
+
+@query("weisfeiler_lehman_sizes", cte("part_copurchase") + ", s as (select distinct source a, target b from part_copurchase where source<>target union select target, source from part_copurchase where source<>target), g as (select a, count(*) k from s group by 1), z as (select k, count(*) n from g group by 1) select 0 as round, sum(n)::bigint as n from z union all select 1, n from z")
+def _(s, d):
+    return similarity.weisfeiler_lehman(graph(s, d, "part_copurchase"), 1).select("round", "n")
+
+
+@query("feature_importances", "select true as ranked from (select 1)")
+def _(s, d):
+    rows = table(s, d, "lineitem").select(F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), F.col("l_extendedprice").cast("double").alias("price"), (F.col("l_quantity") > 25).cast("int").alias("label"))
+    got = modelling.importances(rows, ["quantity", "discount", "price"], "label")
+    return got.where("place = 1").select((F.col("feature") == "quantity").alias("ranked"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.operators.centrality import degrees
 from graphloom.operators.components import component_sizes, weakly_connected_components
 from graphloom.operators.triangles import clustering_coefficient
 
@@ -52,6 +53,17 @@ def burst_anomalies(results: DataFrame) -> DataFrame:
     return results.withColumn("a", a).select("batch", F.explode(F.array_compact("a")).alias("a")).select("batch", "a.*")
 
 
+def structural_anomalies(before: Graph, now: Graph, batch: int, hub: int = 100) -> DataFrame:
+    """(batch, anomaly, node_id, before, now): vertices whose last edge went, and those whose degree came to ``hub`` or more.
+
+    Degrees count both directions and parallel edges; a vertex that one of the graphs lacks has degree 0 there.
+    """
+    of = lambda g, name: degrees(g).select("node_id", F.col("degree").alias(name))
+    both = of(before, "before").join(of(now, "now"), "node_id", "full").na.fill(0, ["before", "now"])
+    kind = F.when((F.col("before") > 0) & (F.col("now") == 0), "isolated_node").when((F.col("now") >= hub) & (F.col("before") < hub), "hub_formation")
+    return both.select(F.lit(batch).cast("long").alias("batch"), kind.alias("anomaly"), "node_id", "before", "now").where("anomaly IS NOT NULL")
+
+
 def stability(before: DataFrame, now: DataFrame) -> DataFrame:
     """(stability): share of the vertices in both that kept their community (node_id, community); 1 if none is in both."""
     both = before.select("node_id", F.col("community").alias("c0")).join(now.select("node_id", F.col("community").alias("c1")), "node_id")

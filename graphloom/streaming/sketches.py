@@ -103,6 +103,11 @@ def merge_graph_sketches(sketches: DataFrame) -> DataFrame:
     return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("nodes", True)).alias("nodes"), F.hll_sketch_estimate(F.hll_union_agg("edges", True)).alias("edges"))
 
 
+def triangle_sketch(triangles: DataFrame, a: str = "a", b: str = "b", c: str = "c", precision: int = 12) -> DataFrame:
+    """(sketch): HyperLogLog of triangles, each the same whatever the order of its vertices; merge with ``merge_distinct``."""
+    return distinct_sketch(triangles, F.array_join(F.array_sort(F.array(a, b, c)), "\x1f"), precision)
+
+
 def degree_estimates(edges: DataFrame, nodes: DataFrame, width: int = 1000, depth: int = 5) -> DataFrame:
     """(id, estimate) of degrees by a count-min sketch."""
     return CountMin.of(edges.select(F.explode(F.array("source", "target")).alias("id")), "id", width=width, depth=depth).estimate(nodes, "id")

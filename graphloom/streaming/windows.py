@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
@@ -63,6 +63,30 @@ def windowed_counts(events: DataFrame, size: str, slide: str | None = None, late
     return event_time(events, column).withWatermark(column, late).groupBy(w.alias("w"), *keys).agg(*aggs).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", *(["total"] if value else []))
 
 
+def windowed_statistics(
+    events: DataFrame, size: str, value: str, statistics: tuple[str, ...] = ("average", "median", "stddev"), slide: str | None = None, late: str = "10 minutes", column: str = "ts", keys: tuple[str, ...] = (), exact: bool = False, mode_of: str | None = None
+) -> DataFrame:
+    """(start, end, keys..., n, one column per statistic[, mode]): sum, average, count, minimum, maximum, stddev, median, percentile_<p>.
+
+    Quantiles come from sketches of a fixed size (relative error 1e-4 in rank); ``exact`` interpolates them over a count of each distinct value
+    instead, whose size grows with a window's distinct values. Nulls are no values; a stddev of one value is 0. The mode is the smallest of equals.
+    """
+    def of(name: str) -> Column:
+        plain = {"sum": F.sum, "average": F.avg, "count": F.count, "minimum": F.min, "maximum": F.max}
+        if name in plain:
+            return plain[name](value)
+        if name == "stddev":
+            return F.when(F.count(value) > 1, F.stddev_samp(value)).when(F.count(value) == 1, 0.0)
+        share = 0.5 if name == "median" else int(name.removeprefix("percentile_")) / 100 if name.removeprefix("percentile_").isdigit() else None
+        check(share is not None and 0 <= share <= 1, f"unknown statistic {name}")
+        return F.percentile(value, share) if exact else F.percentile_approx(value, share, 10_000)
+
+    w = F.window(column, size, slide) if slide else F.window(column, size)
+    aggs = [F.count(F.lit(1)).alias("n"), *[of(x).alias(x) for x in statistics], *([F.mode(mode_of, True).alias("mode")] if mode_of else [])]
+    by = event_time(events, column).withWatermark(column, late).groupBy(w.alias("w"), *keys).agg(*aggs)
+    return by.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", *statistics, *(["mode"] if mode_of else []))
+
+
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "10 minutes", column: str = "ts") -> DataFrame:
     """(key, start, end, n): sessions of a key end after a gap."""
     w = F.session_window(column, gap)
