@@ -52,6 +52,10 @@ EDGES = re.compile(r"^[^a-z0-9@$!|+(€£À-
 DISGUISED = re.compile(r"(?=.*[a-z])(?:.*[0-9@$!|+(*€£_~^`].*|.*(.)\1\1.*|.*[a-z][.\-/'][a-z].*)|(?![$€£+(]?[\d.,]+[$€£+!(*]?$)(?=..)(?=.*[@$!|+(€£])[0-9@$!|+(*€£]+$", re.S)
 STARRED = re.compile(r"\*{3,}[@$!|+(*€£]*$")
 MASKED = re.compile(r"[a-z]{1,3}\*{2,}")
+REPEATED = re.compile(r"(.)\1+")
+TRIPLE = re.compile(r"(.)\1\1")
+LETTERS_ONLY = re.compile(r"[a-zÀ-₫₭-￿]+")  # no sign that may stand for a letter: the euro sign is left out
+ASCII_EDGES = "\"#%&'),-./:;<=>?[\\]^_`{}~"  # signs that EDGES takes off both ends
 MEMORY = 300_000
 STEMS = (4, 5, 6, 7, 8)
 SLICE = 1 << 20  # bytes of text that are counted at a time
@@ -63,7 +67,7 @@ class CharModel:
 
     def __init__(self, four: np.ndarray):
         four = four.reshape(A, A, A, A).astype(np.float64)
-        three, self.known = four.sum(0), {}
+        three, self.known, self.costs = four.sum(0), {}, {}
         two = three.sum(0)
         one = two.sum(0)
         self.tables = [one, two, three, four]
@@ -82,7 +86,10 @@ class CharModel:
         return got
 
     def cost(self, context: str, c: str) -> float:
-        return -math.log(self.p(context)[0 if c == " " else ord(c) - 96])
+        costs = self.costs.get(context)
+        if costs is None:
+            costs = self.costs[context] = [-math.log(x) for x in self.p(context)]
+        return costs[0 if c == " " else ord(c) - 96]
 
 
 @lru_cache(1)
@@ -112,8 +119,15 @@ def options(s: str, i: int) -> list[tuple[str, float]]:
     return [(c, 0.0)]
 
 
+def _single(s: str) -> bool:
+    """Whether ``s`` has one reading, itself: letters only, none of which follows itself."""
+    return bool(LETTERS_ONLY.fullmatch(s)) and not REPEATED.search(s)
+
+
 def restore(s: str, model: CharModel) -> str:
     """Cheapest reading of ``s``: Viterbi over the lattice, a state being the last three characters."""
+    if _single(s):
+        return s
     best: dict[str, tuple[float, tuple | None]] = {" ": (0.0, None)}
     for i in range(len(s)):
         nxt: dict[str, tuple[float, tuple | None]] = {}
@@ -152,7 +166,7 @@ def readings(token: str, model: CharModel) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    key = re.sub(r"(.)\1+", r"\1", word)
+    key = REPEATED.sub(r"\1", word)
     return ["=" + key, *[key[:n] for n in STEMS if len(key) >= n]] if len(key) > 2 else ["=" + re.sub(r"(.)\1\1+", r"\1\1", word)]
 
 
@@ -162,10 +176,20 @@ class Reader(dict):
     def __init__(self, model: CharModel, weights: dict[str, float] | None = None):
         super().__init__()
         self.model, self.weights = model, weights
+        # all features of a word of four letters or more begin with its key's first four
+        self.starts = {f.removeprefix("=")[:4] for f in weights or ()}
 
     def __missing__(self, token: bytes):
-        words = readings(token.decode().lower(), self.model)
-        if self.weights is None:
+        text = token.decode().lower()
+        core = text.strip(ASCII_EDGES)
+        if LETTERS_ONLY.fullmatch(core) and not TRIPLE.search(core):  # not disguised
+            key = REPEATED.sub(r"\1", core) if self.weights is not None else ""
+            words = [] if len(key) > 2 and key[:4] not in self.starts else [core]
+        else:
+            words = readings(text, self.model)
+        if not words:
+            got = ()
+        elif self.weights is None:
             got = tuple(f for w in words for f in features(w))
         else:  # the strongest feature of each word, if one has a weight
             got = tuple((f, x) for w in words if (known := [(self.weights[f], f) for f in features(w) if f in self.weights]) for x, f in [max(known)])

@@ -130,3 +130,17 @@ def test_disguises_at_the_end_and_of_short_words():
         assert tx.readings(s, m) == [want], s
     assert tx.readings("f***", m)[-1] == "f***" and tx.readings("$100", m) == ["$100"] and tx.readings("2024", m) == ["2024"]
     assert tx.features("ass") == ["=ass"] != tx.features("as") == ["=as"] and tx.features("f***") == ["=f**"]
+
+
+def test_plain_tokens_skip_the_lattice_with_the_same_features():
+    """Tokens that are taken for plain words get what their readings give, with and without weights."""
+    counts = np.ones(tx.A**4, np.int64)
+    model = tx.CharModel(counts)
+    tokens = "word, (word) été l'été café! aaa abba committee comiittee f*** pi$$ a.b 'tis {x} €uro x€ straße% word%%% 3rd --- ab as ass naïve-word ÿ".split()
+    weights = {"=as": 3.0, "=ass": 4.0, "=word": 5.0, "comi": 3.5, "=été": 3.0, "=abba": 9.0, "=aba": 3.0}
+    every, chosen = tx.Reader(model), tx.Reader(model, weights)
+    for t in tokens:
+        found = [[f for f in tx.features(w)] for w in tx.readings(t.lower(), model)]
+        assert list(every[t.encode()]) == [f for fs in found for f in fs], t
+        best = [max((weights[f], f) for f in fs if f in weights) for fs in found if any(f in weights for f in fs)]
+        assert [(x, f) for f, x in chosen[t.encode()]] == best, t
