@@ -8,11 +8,12 @@ with the probability of their weighted Jaccard similarity. Points are drawn in r
 than the latest register.
 
 Registers are banded. Texts with the same words are one node first. In each bucket all nodes meet the
-smallest one; components of the verified links follow. In buckets that still hold several components, every node outside the
-largest one is held against all nodes of other components by an exact filter: each text has a map of 1024 bits, in which every
-shingle flips one, and two maps differ in no more bits than the texts do in shingles. Only pairs that pass it become
-rows, which are then few more than the links; no pair of a bucket whose link could matter is left out. Links are verified by
-the exact multiset overlap of whole texts.
+smallest one; components of the verified links follow. In buckets that still hold several components, the nodes outside the
+largest one are open. Where they are few, each is held against all nodes of other components by an exact filter: each text
+has a map of 1024 bits, in which every shingle flips one, and two maps differ in no more bits than the texts do in shingles.
+Wide buckets, of many open nodes or of texts too long for the map, would cost the square of their size that way. Their
+nodes meet by their rarest shingles instead, which finds every pair that is alike: see ``rare_pairs``. Only pairs that pass become
+rows; no pair of a bucket whose link could matter is left out. Links are verified by the exact multiset overlap of whole texts.
 
 Defined cases: a text of one to four words is one shingle; texts without words (null too) are alike; null ids
 are larger than all others; repeated rows are one node; columns other than id and text are ignored.
@@ -24,11 +25,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
+from graphloom.lineage import cut_counted
 from graphloom.llm.common import documents, filter_of, maybe_in, spool, text_bytes
 from graphloom.llm.components import components
 
@@ -37,6 +39,9 @@ BANDS, ROWS = 28, 6  # at similarity 0.8, 0.9998 of the pairs share a bucket
 THRESHOLD = (4, 5)  # overlap of at least 4/5 of the union
 BATCH = 300_000  # words of a numpy batch
 MAP = 1024  # bits of a text's parity map
+FEW_OPEN = 64  # open nodes of a bucket that meet all others of it; with more the bucket is wide
+LONG = 2 * MAP  # shingles; between longer texts the map tells little
+FREQUENT = 1024  # a shingle of more than one in so many rows is joined by broadcast: there are fewer than so many
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,6 +203,40 @@ def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str)
     return spool(maybe.join(wanted, "same").groupBy("node").agg(F.first("t").alias("t")), "near-texts")
 
 
+def rare_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of different roots, one of them free, that could be alike by their rarest shingles; all that are alike are among them.
+
+    ``nodes``: (node, root, n, free). Shingles are ordered alike in all texts: those within one root first, then the rarer. If a
+    pair has its first common shingle after i of a's n_a and j of b's n_b, its overlap is at most min(n_a - i, n_b - j), which has to
+    be 4/9 of n_a + n_b or more. So a text meets longer ones by its first ninth only and shorter ones by its first fifth:
+    texts that share a template and differ in a ninth of their shingles never meet.
+    """
+
+    def run(batches):
+        for b in batches:
+            for node, root, t in zip(b.column("node").to_pylist(), b.column("root").to_pylist(), b.column("t")):
+                found = ranked_set(t.as_py().split()).view(np.int64)
+                for at in range(0, len(found), BATCH):
+                    part = found[at : at + BATCH]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), root)), pa.array(part)], names=["node", "root", "s"])
+
+    sets, rows = cut_counted(texts.join(nodes.select("node", "root"), "node").select("node", "root", "t").mapInArrow(run, "node long, root long, s long"), "near-shingles")
+    common = sets.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s", "df")
+    common = spool(common, "near-common")
+    often = F.broadcast(common.where(F.col("df") * FREQUENT > rows))
+    met = sets.join(often, "s").unionByName(sets.join(common.where(F.col("df") * FREQUENT <= rows), "s")).select("node", "s", "df")
+    counts = met.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
+    ranked = met.withColumn("rank", rank).join(nodes.join(counts, "node"), "node").withColumn("i", F.expr("n - shared + rank - 1"))
+    ranked = spool(ranked.where("5 * i <= n").select("s", "node", "root", "n", "free", "i"), "near-rare")
+    side = lambda x: ranked.select("s", *[F.col(c).alias(f"{c}_{x}" if c != "node" else x) for c in ("node", "root", "n", "free", "i")])
+    pairs = side("a").join(side("b").where("9 * i_b <= n_b"), "s").where(
+        f"root_a != root_b AND (free_a OR free_b) AND (n_a > n_b OR n_a = n_b AND a > b) AND {THRESHOLD[1]} * n_b >= {THRESHOLD[0]} * n_a "
+        f"AND {sum(THRESHOLD)} * least(n_a - i_a, n_b - i_b) >= {THRESHOLD[0]} * (n_a + n_b)"
+    )
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 #: At most so many shingles, and so many bits of the maps, differ between texts of n_a and n_b shingles that are alike.
 _FEW_BITS = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(MAP // 64))
 MAY_BE_ALIKE = f"{THRESHOLD[1]} * least(n_a, n_b) >= {THRESHOLD[0]} * greatest(n_a, n_b) AND {sum(THRESHOLD)} * ({_FEW_BITS}) <= {THRESHOLD[1] - THRESHOLD[0]} * (n_a + n_b)"
@@ -211,7 +250,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     signed = spool(sign(docs, id_col, text_col, bands, rows, row_col), "near-signed")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
     nodes = spool(signed.groupBy("same").agg(F.min("rid").alias("node")), "near-nodes")
-    members = signed.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.explode("bands").alias("bucket"), F.col("rid").alias("node"))
+    members = signed.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.explode("bands").alias("bucket"), F.col("rid").alias("node"), "n")
     buckets = spool(members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "pivot"), "near-buckets")
     members = spool(members.join(buckets, "bucket"), "near-members")
     texts = _texts(docs, signed, members.select("node").distinct(), text_col)
@@ -222,16 +261,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     found = spool(_verify(near, texts), "near-links")
     roots = components(found)
     # what the smallest nodes of the buckets have left open
-    placed = spool(members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "near-placed")
-    sizes = placed.groupBy("bucket", "root").count()
-    several = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = placed.join(spool(several.select("bucket", "largest"), "near-several"), "bucket")
+    placed = spool(members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "n"), "near-placed")
+    sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("count"), F.max("n").alias("longest"))
+    wide = (F.sum("count") - F.max("count") > FEW_OPEN) | (F.max("longest") > LONG)
+    several = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count(F.lit(1)).alias("parts"), wide.alias("wide")).where("parts > 1")
+    several = placed.join(spool(several.select("bucket", "largest", "wide"), "near-several"), "bucket")
+    open_ = several.where("NOT wide").drop("wide", "n")
     open_ = spool(open_.join(signed.select(F.col("rid").alias("node"), "n", "bits", "bands"), "node"), "near-open")
     side = lambda x: open_.select("bucket", "largest", *[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "root", "n", "bits", "bands")])
     left = side("a").where("root_a != largest").drop("largest")
     once = "array_intersect(bands_a, bands_b)[0] = bucket"  # in the first bucket that both are in
     pairs = left.join(side("b"), "bucket").where(f"root_a != root_b AND (root_b = largest OR a < b) AND {MAY_BE_ALIKE} AND {once}")
-    pairs = spool(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowd = spool(several.where("wide").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.max(F.col("root") != F.col("largest")).alias("free")), "near-crowd")
+    if not crowd.isEmpty():
+        rare = rare_pairs(crowd, texts).join(of("a"), "a").join(of("b"), "b").where(MAY_BE_ALIKE).select("a", "b")
+        pairs = pairs.unionByName(rare).distinct()
+    pairs = spool(pairs, "near-pairs")
     if not pairs.isEmpty():
         more = spool(_verify(pairs, texts), "near-links")
         roots = components(found.unionByName(more)) if not more.isEmpty() else roots

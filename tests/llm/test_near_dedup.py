@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import near_dedup as nd
 
@@ -108,6 +109,34 @@ def test_large_group(spark):
     assert _classes(spark, texts) == _brute(texts)
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_wide_buckets(spark, monkeypatch, few):
+    """One register a band: nearly all texts share buckets with unlike ones; both ways of a bucket give brute force's classes."""
+    monkeypatch.setattr(nd, "FEW_OPEN", few)
+    r = random.Random(11)
+    template = [f"t{i}" for i in range(80)]
+    texts = []
+    for i in range(60):
+        own = [f"u{i}-{k}" for k in range(r.choice([4, 9, 14, 30]))]
+        texts += [" ".join(template + own), " ".join([*own[:2], *template, *own])][: r.randrange(1, 3)]
+    texts += ["p q r s t u " * 20, "p q r s t u " * 18, "p q r s t u " * 10, None, "one"]
+    texts += [" ".join(f"l{i}" for i in range(k, k + 2400)) for k in (0, 100, 900)]  # too long for the map
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {g.doc_id: g.class_id for g in nd.classes(docs, bands=24, rows=1).collect()}
+    assert [got[i] for i in range(len(texts))] == _brute(texts)
+
+
+def test_crowd_of_unlike_texts_is_linear(spark):
+    """5000 texts of a common template, a fifth of each its own: no pair comes out, so nothing grows with the square."""
+    template = " ".join(f"t{i}" for i in range(80))
+    texts = spark.range(5000).select(F.col("id").alias("node"), F.concat(F.lit(template), *[F.concat(F.lit(f" u{k}-"), "id") for k in range(20)]).cast("binary").alias("t"))
+    nodes = spark.range(5000).select(F.col("id").alias("node"), F.col("id").alias("root"), F.lit(96).cast("long").alias("n"), F.lit(True).alias("free"))
+    assert nd.rare_pairs(nodes, texts).count() == 0
+    alike = texts.unionByName(texts.where("node = 7").select(F.lit(9000).cast("long").alias("node"), F.concat("t", F.lit(" more").cast("binary")).alias("t")))
+    more = nodes.unionByName(spark.createDataFrame([(9000, 9000, 97, True)], nodes.schema))
+    assert [tuple(p) for p in nd.rare_pairs(more, alike).collect()] == [(7, 9000)]
+
+
 def test_empty_table(spark):
     assert nd.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
