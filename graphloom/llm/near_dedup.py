@@ -12,7 +12,7 @@ smallest one; components of the verified links follow. In buckets that still hol
 largest one are open. Where they are few, each is held against all nodes of other components by an exact filter: each text
 has a map of 1024 bits, in which every shingle flips one, and two maps differ in no more bits than the texts do in shingles.
 Wide buckets, of many open nodes or of texts too long for the map, would cost the square of their size that way. Their
-nodes meet by their rarest shingles instead, which finds every pair that is alike: see ``rare_pairs``. Only pairs that pass become
+nodes meet by their rarest shingles instead, which finds every pair that is alike, but for pairs that other links have joined: see ``rare_links``. Only pairs that pass become
 rows; no pair of a bucket whose link could matter is left out. Links are verified by the exact multiset overlap of whole texts.
 
 Defined cases: a text of one to four words is one shingle; texts without words (null too) are alike; null ids
@@ -22,16 +22,18 @@ are larger than all others; repeated rows are one node; columns other than id an
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from graphloom.lineage import cut_counted
-from graphloom.llm.common import documents, filter_of, maybe_in, spool, text_bytes
+from graphloom.lineage import cut_measured
+from graphloom.llm.common import batch_of, documents, filter_of, maybe_in, spool, text_bytes
 from graphloom.llm.components import components
 
 WIDTH = 5
@@ -41,7 +43,9 @@ BATCH = 300_000  # words of a numpy batch
 MAP = 1024  # bits of a text's parity map
 FEW_OPEN = 64  # open nodes of a bucket that meet all others of it; with more the bucket is wide
 LONG = 2 * MAP  # shingles; between longer texts the map tells little
-FREQUENT = 1024  # a shingle of more than one in so many rows is joined by broadcast: there are fewer than so many
+MANY = 8  # pairs of a group's nodes to a row, beyond which the groups' roots are joined first
+MOST_TURNS = 4
+MOST_COUNTS = 20  # bits of a hash by which the shingles of wide buckets are counted
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,40 +207,136 @@ def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str)
     return spool(maybe.join(wanted, "same").groupBy("node").agg(F.first("t").alias("t")), "near-texts")
 
 
-def rare_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): pairs of different roots, one of them free, that could be alike by their rarest shingles; all that are alike are among them.
+def rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(s, node, root, n, free, i): the rarest shingles of each of ``nodes`` (node, root, n, free), at most a fifth; i others of the text come before s.
 
-    ``nodes``: (node, root, n, free). Shingles are ordered alike in all texts: those within one root first, then the rarer. If a
-    pair has its first common shingle after i of a's n_a and j of b's n_b, its overlap is at most min(n_a - i, n_b - j), which has to
-    be 4/9 of n_a + n_b or more. So a text meets longer ones by its first ninth only and shorter ones by its first fifth:
-    texts that share a template and differ in a ninth of their shingles never meet.
+    Shingles are ordered alike in all texts: those within one root first, which aren't returned, then the rarer. Any such order
+    loses no pair. Rarity is counted by the first bits of the hashes, in a table of at most 2**``MOST_COUNTS`` numbers that is
+    broadcast, so each text orders its shingles by itself and only its first fifth become rows. Shingles that share a number
+    seem more frequent than they are; those of a number that one root has alone are within one root.
     """
 
-    def run(batches):
+    def grouped(parts):
+        """(place of the first, parts) of as many parts at a time as have about ``BATCH`` shingles."""
+        at, held, size = 0, [], 0
+        for x in parts:
+            held.append(x)
+            size += max(1, len(x[0]) if isinstance(x, tuple) else len(x))
+            if size >= BATCH:
+                yield at, held
+                at, held, size = at + len(held), [], 0
+        if held:
+            yield at, held
+
+    def sets(batches):
+        for b in batches:
+            for at, found in grouped(ranked_set(t.as_py().split()).view(np.int64) for t in b.column("t")):
+                held = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, len(found)) for c in ("node", "root", "n", "free")], held], names=["node", "root", "n", "free", "set"])
+
+    crowd = texts.join(nodes, "node").select("node", "root", "n", "free", "t").mapInArrow(sets, "node long, root long, n long, free boolean, set array<long>")
+    crowd, seen = cut_measured(crowd, "near-sets", rows=F.sum("n"))
+    shift = 64 - min(MOST_COUNTS, max(10, (4 * (seen["rows"] or 0)).bit_length()))
+    counts = pa.schema([("place", pa.int32()), ("df", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
+    def count(batches):
         for b in batches:
-            for node, root, t in zip(b.column("node").to_pylist(), b.column("root").to_pylist(), b.column("t")):
-                found = ranked_set(t.as_py().split()).view(np.int64)
-                for at in range(0, len(found), BATCH):
-                    part = found[at : at + BATCH]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), root)), pa.array(part)], names=["node", "root", "s"])
-
-    sets, rows = cut_counted(texts.join(nodes.select("node", "root"), "node").select("node", "root", "t").mapInArrow(run, "node long, root long, s long"), "near-shingles")
-    common = sets.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s", "df")
-    common = spool(common, "near-common")
-    often = F.broadcast(common.where(F.col("df") * FREQUENT > rows))
-    met = sets.join(often, "s").unionByName(sets.join(common.where(F.col("df") * FREQUENT <= rows), "s")).select("node", "s", "df")
-    counts = met.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
-    ranked = met.withColumn("rank", rank).join(nodes.join(counts, "node"), "node").withColumn("i", F.expr("n - shared + rank - 1"))
-    ranked = spool(ranked.where("5 * i <= n").select("s", "node", "root", "n", "free", "i"), "near-rare")
-    side = lambda x: ranked.select("s", *[F.col(c).alias(f"{c}_{x}" if c != "node" else x) for c in ("node", "root", "n", "free", "i")])
-    pairs = side("a").join(side("b").where("9 * i_b <= n_b"), "s").where(
-        f"root_a != root_b AND (free_a OR free_b) AND (n_a > n_b OR n_a = n_b AND a > b) AND {THRESHOLD[1]} * n_b >= {THRESHOLD[0]} * n_a "
-        f"AND {sum(THRESHOLD)} * least(n_a - i_a, n_b - i_b) >= {THRESHOLD[0]} * (n_a + n_b)"
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                found, held = part.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(part.column("set")).to_numpy()
+                if len(found):
+                    place, root = (found >> np.uint64(shift)).astype(np.int32), np.repeat(part.column("root").to_numpy(), held)
+                    order = np.argsort(place, kind="stable")
+                    new = np.flatnonzero(np.concatenate(([True], np.diff(place[order]) > 0)))
+                    yield batch_of(counts, [place[order[new]], np.diff(np.append(new, len(found))), np.minimum.reduceat(root[order], new), np.maximum.reduceat(root[order], new)])
+
+    by_place = crowd.select("root", "set").mapInArrow(count, "place int, df long, low long, high long").groupBy("place")
+    got = by_place.agg(F.sum("df").alias("df"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("place", "df").toArrow()  # at most 2**MOST_COUNTS rows
+    often = np.zeros(1 << (64 - shift), np.int64)
+    often[got.column("place").to_numpy()] = got.column("df").to_numpy()
+    b_often = nodes.sparkSession.sparkContext.broadcast(often)  # 8 MB at most
+    rare = pa.schema([("s", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("free", pa.bool_()), ("i", pa.int64())])
+
+    def first(found, often):
+        """(shingles, places): those of a text's first fifth that are not within one root."""
+        df = often[found >> np.uint64(shift)]
+        order = np.lexsort((found, df))[: len(found) // 5 + 1]
+        i = np.flatnonzero(df[order])
+        return found[order[i]], i
+
+    def rarest(batches):
+        often = b_often.value
+        for b in batches:
+            for at, parts in grouped(first(x.values.to_numpy(zero_copy_only=False).view(np.uint64), often) for x in b.column("set")):
+                size = [len(s) for s, _ in parts]
+                s, i = (np.concatenate(x) for x in zip(*parts))
+                yield batch_of(rare, [s.view(np.int64), *[b.column(c).slice(at, len(parts)).take(pa.array(np.repeat(np.arange(len(parts)), size))) for c in ("node", "root", "n", "free")], i])
+
+    return spool(crowd.mapInArrow(rarest, "s long, node long, root long, n long, free boolean, i long"), "near-rare")
+
+
+def _by_shingle(rare: DataFrame) -> DataFrame:
+    """(s, largest, all, open): of shingles met by several roots the one with most nodes, all nodes and those of other roots."""
+    sizes = rare.groupBy("s", "root").agg(F.count(F.lit(1)).alias("count"))
+    return sizes.groupBy("s").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("open")).where("open > 0")
+
+
+def _met(rare: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different roots that could be alike; a pair of nodes of which neither is open in a group is of one root."""
+    side = lambda x, rows: rows.select("s", "largest", *[F.col(c).alias(f"{c}_{x}" if c != "node" else x) for c in ("node", "root", "n", "free", "i")])
+    rows = rare.join(groups.select("s", "largest"), "s")
+    pairs = side("a", rows.where("root != largest")).join(side("b", rows).drop("largest"), "s").where(
+        "root_a != root_b AND (root_b = largest OR a < b) AND (free_a OR free_b) AND (9 * i_a <= n_a AND n_a <= n_b OR 9 * i_b <= n_b AND n_b <= n_a) "
+        f"AND {THRESHOLD[1]} * least(n_a, n_b) >= {THRESHOLD[0]} * greatest(n_a, n_b) AND {sum(THRESHOLD)} * least(n_a - i_a, n_b - i_b) >= {THRESHOLD[0]} * (n_a + n_b)"
     )
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _drawn(rare: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """(a, b, root_a, root_b): of each shingle, one node drawn by hash and each node of another root, so no more pairs than rows."""
+    rows = rare.join(groups.select("s"), "s")
+    drawn = F.xxhash64("node", F.pmod("s", F.lit(8 << 4 * turn)), F.lit(turn))  # few nodes in all at first, then others for other shingles
+    one = rows.groupBy("s").agg(F.min_by(F.struct("node", "root", "n"), drawn).alias("one"))
+    both = rows.join(one, "s").where(f"one.root != root AND {THRESHOLD[1]} * least(n, one.n) >= {THRESHOLD[0]} * greatest(n, one.n)")
+    return both.select(F.col("one.node").alias("a"), F.col("node").alias("b"), F.col("one.root").alias("root_a"), F.col("root").alias("root_b")).distinct()
+
+
+def rare_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of different roots, one of them free, that could be alike by their rarest shingles; all that are alike are among them.
+
+    ``nodes``: (node, root, n, free). If a pair has its first common shingle after i of a's n_a and j of b's n_b, its overlap is
+    at most min(n_a - i, n_b - j), which has to be 4/9 of n_a + n_b or more. So a text meets longer ones by its first ninth only and
+    shorter ones by its first fifth: texts that share a template and differ in a ninth of their shingles never meet.
+    """
+    rare = rare_shingles(nodes, texts)
+    return _met(rare, _by_shingle(rare))
+
+
+def rare_links(nodes: DataFrame, texts: DataFrame, may_be_alike, links: list[DataFrame]) -> DataFrame:
+    """``rare_pairs``, after links that join the roots of large groups have been added to ``links``.
+
+    A group of n near copies has up to n * n / 2 links, of which n - 1 say the same. So while the pairs of different roots would be many
+    beside the rows, each node first meets one that is drawn of each of its shingles' groups, and roots whose nodes
+    are alike become one. Whatever that leaves apart meets in full.
+    """
+    rare, before = rare_shingles(nodes, texts), None
+    for turn in range(MOST_TURNS):
+        groups = spool(_by_shingle(rare), "near-groups")
+        size = groups.agg(F.sum("all").alias("rows"), F.sum(F.col("open") * F.col("all")).alias("pairs")).first()
+        if not size["rows"] or size["pairs"] <= MANY * size["rows"] or before and size["pairs"] > 0.9 * before:
+            break
+        before = size["pairs"]
+        drawn = spool(may_be_alike(_drawn(rare, groups, turn)), "near-drawn")
+        found = spool(_verify(drawn.select("a", "b"), texts), "near-links")
+        links.append(found)
+        joined = components(found.join(drawn, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("new"))
+        rare = spool(rare.join(joined, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"), "near-rare")
+    else:
+        groups = _by_shingle(rare)
+    return _met(rare, groups)
+
+
 #: At most so many shingles, and so many bits of the maps, differ between texts of n_a and n_b shingles that are alike.
 _FEW_BITS = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(MAP // 64))
 MAY_BE_ALIKE = f"{THRESHOLD[1]} * least(n_a, n_b) >= {THRESHOLD[0]} * greatest(n_a, n_b) AND {sum(THRESHOLD)} * ({_FEW_BITS}) <= {THRESHOLD[1] - THRESHOLD[0]} * (n_a + n_b)"
@@ -273,14 +373,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     once = "array_intersect(bands_a, bands_b)[0] = bucket"  # in the first bucket that both are in
     pairs = left.join(side("b"), "bucket").where(f"root_a != root_b AND (root_b = largest OR a < b) AND {MAY_BE_ALIKE} AND {once}")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links: list[DataFrame] = []
     crowd = spool(several.where("wide").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.max(F.col("root") != F.col("largest")).alias("free")), "near-crowd")
     if not crowd.isEmpty():
-        rare = rare_pairs(crowd, texts).join(of("a"), "a").join(of("b"), "b").where(MAY_BE_ALIKE).select("a", "b")
-        pairs = pairs.unionByName(rare).distinct()
+        may_be_alike = lambda met: met.join(of("a"), "a").join(of("b"), "b").where(MAY_BE_ALIKE).select(*met.columns)
+        pairs = pairs.unionByName(may_be_alike(rare_links(crowd, texts, may_be_alike, links))).distinct()
     pairs = spool(pairs, "near-pairs")
     if not pairs.isEmpty():
-        more = spool(_verify(pairs, texts), "near-links")
-        roots = components(found.unionByName(more)) if not more.isEmpty() else roots
+        links.append(spool(_verify(pairs, texts), "near-links"))
+    more = reduce(DataFrame.unionByName, links) if links else None
+    if more is not None and not more.isEmpty():
+        roots = components(found.unionByName(more))
     rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     rows_ = spool(signed.select("rid", "doc_id", "same").join(rooted, "same").select("rid", "doc_id", "root"), "near-rooted")
     heads = spool(rows_.groupBy("root").agg(F.min(first).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")

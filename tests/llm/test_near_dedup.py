@@ -137,6 +137,49 @@ def test_crowd_of_unlike_texts_is_linear(spark):
     assert [tuple(p) for p in nd.rare_pairs(more, alike).collect()] == [(7, 9000)]
 
 
+def _family(texts, seed=2, vary=9):
+    """Copies of one text, of which each has up to ``vary`` words of its own: near 0.8 alike, some above and some below."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    out = []
+    for i in range(texts):
+        copy = list(base)
+        for k in r.sample(range(150), r.randrange(vary)):
+            copy[k] = f"o{i}-{k}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("counts", [4, 20])
+def test_rare_shingles_lose_no_pair(spark, monkeypatch, counts):
+    """A fifth of the shingles become rows at most, and all alike pairs of different roots meet, however few counts there are."""
+    monkeypatch.setattr(nd, "MOST_COUNTS", counts)
+    texts = _family(120)
+    bags = [_bag(t) for t in texts]
+    rows = spark.createDataFrame([(i, i % 70, sum(bags[i].values()), True, t.encode()) for i, t in enumerate(texts)], "node long, root long, n long, free boolean, t binary")
+    nodes, texts = rows.drop("t"), rows.select("node", "t")
+    rare = nd.rare_shingles(nodes, texts)
+    assert rare.where("5 * i > n").isEmpty() and 0 < rare.count() <= sum(sum(b.values()) // 5 + 1 for b in bags)
+    met = {tuple(p) for p in nd.rare_pairs(nodes, texts).collect()}
+    assert {(a, b) for b in range(120) for a in range(b) if a % 70 != b % 70 and _similarity(bags[a], bags[b]) >= 0.8} <= met
+
+
+def test_group_of_near_copies_is_not_expanded(spark, monkeypatch):
+    """Of a large group's links most say the same: far fewer pairs are verified than are alike, and the classes are brute force's."""
+    texts = _family(200, vary=3)
+    bags = [_bag(t) for t in texts]
+    links = sum(_similarity(bags[a], bags[b]) >= 0.8 for b in range(200) for a in range(b))
+    rows = spark.createDataFrame([(i, i, sum(bags[i].values()), True, t.encode()) for i, t in enumerate(texts)], "node long, root long, n long, free boolean, t binary")
+    nodes, rows = rows.drop("t"), rows.select("node", "t")
+    verify, verified, found = nd._verify, [], []
+    monkeypatch.setattr(nd, "_verify", lambda pairs, t: verified.append(pairs.count()) or verify(pairs, t))
+    left = nd.rare_links(nodes, rows, lambda met: met, found)
+    found.append(nd._verify(left, rows))
+    assert sum(verified) < links / 4 and nd.rare_pairs(nodes, rows).count() >= links, (verified, links)
+    got = {r.node: r.root for r in nd.components(nd.reduce(nd.DataFrame.unionByName, found)).collect()}
+    assert [got.get(i, i) for i in range(200)] == _brute(texts)
+
+
 def test_empty_table(spark):
     assert nd.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
