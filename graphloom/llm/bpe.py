@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import documents, text_bytes
+from graphloom.llm.common import documents, remembered, text_bytes
 
 VOCABULARY = "word_bpe_49k.json"
 MEMORY = 300_000
@@ -153,15 +153,9 @@ class Bpe(dict):
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[int, Bpe] = {}
-
-
 def load(spec: str) -> Bpe:
-    """One encoder for each worker process and tokenizer file."""
-    key = zlib.crc32(spec.encode())
-    if key not in _loaded:
-        _loaded[key] = Bpe(spec)
-    return _loaded[key]
+    """One encoder for each worker process and tokenizer file, until another operator's task runs there."""
+    return remembered(("bpe", zlib.crc32(spec.encode())), lambda: Bpe(spec))
 
 
 def read_spec(path: str | None = None) -> str:

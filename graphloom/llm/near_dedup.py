@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from graphloom.lineage import cut_measured
-from graphloom.llm.common import batch_of, documents, filter_of, maybe_in, spool, text_bytes
+from graphloom.llm.common import alone, batch_of, documents, filter_of, maybe_in, spool, text_bytes
 from graphloom.llm.components import components
 
 WIDTH = 5
@@ -149,6 +149,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, row
     """(rid, doc_id, same, n, bits, bands): row number, id, digest of the words, shingles, their parity map, band keys."""
     shape = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))])
 
+    @alone
     def run(batches):
         for b in batches:
             texts, at = b.column("t"), 0
@@ -177,6 +178,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     b_text = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     both = b_text.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
 
+    @alone
     def run(batches):
         last, mine = None, None
         for x in batches:
@@ -196,6 +198,7 @@ def _texts(docs: DataFrame, signed: DataFrame, nodes: DataFrame, text_col: str)
     """(node, t) of the nodes."""
     wanted = spool(signed.join(nodes.withColumnRenamed("node", "rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "same"), "near-wanted")
 
+    @alone
     def digest(batches):
         for b in batches:
             t = b.column(0)
@@ -228,6 +231,7 @@ def rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         if held:
             yield at, held
 
+    @alone
     def sets(batches):
         for b in batches:
             for at, found in grouped(ranked_set(t.as_py().split()).view(np.int64) for t in b.column("t")):
@@ -239,6 +243,7 @@ def rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     shift = 64 - min(MOST_COUNTS, max(10, (4 * (seen["rows"] or 0)).bit_length()))
     counts = pa.schema([("place", pa.int32()), ("df", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
+    @alone
     def count(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -264,6 +269,7 @@ def rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         i = np.flatnonzero(df[order])
         return found[order[i]], i
 
+    @alone
     def rarest(batches):
         often = b_often.value
         for b in batches:

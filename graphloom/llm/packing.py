@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import bpe
-from graphloom.llm.common import documents, spool, text_bytes
+from graphloom.llm.common import alone, documents, spool, text_bytes
 
 CAPACITY = 2048
 END = b"\0\0\0\0"  # id 0 ends each document
@@ -135,6 +135,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 200_00
     kept = [c for c in items.columns if c != "salt"]
     shape = T.StructType([*[items.schema[c] for c in kept], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
+    @alone
     def place(batches):
         keys, table = b_plan.value
         for b in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import batch_of, documents, fold_of, spool, stretches, text_bytes
+from graphloom.llm.common import alone, batch_of, documents, fold_of, remembered, spool, stretches, text_bytes
 from graphloom.llm.near_dedup import classes
 
 A = 27  # a to z, and 0 for a word's end or any other byte
@@ -216,15 +216,9 @@ class Reader(dict):
         return sum(found.values())
 
 
-_readers: dict[str, Reader] = {}
-
-
 def _reader(key: str, make) -> Reader:
-    """One for each worker process and model; older models' are dropped."""
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = make()
-    return _readers[key]
+    """One for each worker process and model; other models' and other operators' tables are dropped."""
+    return remembered(("toxicity", key), make)
 
 
 def slices(texts: list[bytes], most: int):
@@ -247,6 +241,7 @@ def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """4-gram counts of the whole corpus, at most A**4 numbers."""
     schema = pa.schema([("code", pa.int32()), ("n", pa.int64())])
 
+    @alone
     def run(batches):
         total, tail = np.zeros(A**4, np.int64), np.zeros(0, np.int64)
         for b in batches:
