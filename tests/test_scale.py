@@ -58,3 +58,17 @@ def test_searches_from_all_vertices(spark, monkeypatch, work, batch):
     got = {r.node_id: r.betweenness_centrality for r in centrality.betweenness_centrality(g, start).where("node_id in ('p1', 'p19', 'p20')").collect()}
     assert got["p19"] == pytest.approx(2 / ((n - 1) * (n - 2))) and got["p1"] > got["p19"] and got["p20"] == 0
     assert centrality.betweenness_centrality(Graph.empty(spark)).count() == centrality.closeness_centrality(Graph.empty(spark)).count() == 0
+
+
+def test_pagerank_of_edges_into_sinks(spark, monkeypatch):
+    """A graph whose targets have no out-edges takes one join, whatever the rounds, and gets the scores that rounds give."""
+    draw = random.Random(7)
+    edges = [(f"c{draw.randrange(40)}", f"s{draw.randrange(5)}") for _ in range(120)]
+    g = Graph(spark.createDataFrame([("lonely",)], "id string"), spark.createDataFrame(edges, "source string, target string"))
+    for options in ({"tolerance": 1e-4}, {"max_iterations": 3, "tolerance": 1e-15}, {"personal": spark.createDataFrame([("c1", 2.0), ("s1", 1.0)], "id string, weight double")}):
+        before = lineage.mark()
+        got = {r.node_id: r.pagerank_score for r in centrality.pagerank(g, **options).collect()}
+        assert lineage.mark() - before <= 6
+        with monkeypatch.context() as m:
+            m.setattr(centrality, "_one_hop_ranks", lambda *a: centrality._ranks(*a, []))
+            assert got == pytest.approx({r.node_id: r.pagerank_score for r in centrality.pagerank(g, **options).collect()}, abs=1e-12)
