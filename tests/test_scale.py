@@ -3,9 +3,12 @@
 import random
 from collections import deque
 
+import duckdb
+import oracle
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom import lineage
+from graphloom import lineage, views
 from graphloom.graph import Graph
 from graphloom.operators import centrality, sources
 
@@ -72,3 +75,27 @@ def test_pagerank_of_edges_into_sinks(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(centrality, "_one_hop_ranks", lambda *a: centrality._ranks(*a, []))
             assert got == pytest.approx({r.node_id: r.pagerank_score for r in centrality.pagerank(g, **options).collect()}, abs=1e-12)
+
+
+def test_views_in_many_tasks(spark, monkeypatch, tmp_path):
+    """The views that would leave one task everything give the rows of their SQL from many tasks: null and equal times, one order with many lines, empty tables."""
+    draw = random.Random(3)
+    con = duckdb.connect()
+    for size in (400, 1, 0):
+        events = [(i, draw.choice([None, *range(30)]), draw.choice([None, 1, 2, 3, *range(60)]), draw.choice("ab")) for i in range(size)]
+        lines = [(0 if i < size // 4 else draw.choice([None, *range(60)]), draw.choice([None, *range(12)])) for i in range(size)]
+        d = tmp_path / str(size)
+        d.mkdir()
+        con.execute("create or replace table e (event_id bigint, user_id bigint, secs bigint, event_type varchar)")
+        con.execute("create or replace table l (l_orderkey bigint, l_partkey bigint)")
+        for name, rows in (("e", events), ("l", lines)):
+            if rows:
+                con.executemany(f"insert into {name} values ({', '.join('?' * len(rows[0]))})", rows)
+        con.execute(f"copy (select event_id, user_id, make_timestamp(secs * 1000000) as ts, event_type from e) to '{d}/events.parquet' (format parquet)")
+        con.execute(f"copy l to '{d}/lineitem.parquet' (format parquet)")
+        monkeypatch.setattr(views, "ROWS", 20)
+        for name in ("user_next", "part_copurchase"):
+            got = views.view(spark, str(d), name)
+            assert oracle.compare(got, oracle.connect(d), views.cte(name) + f" select * from {name}") is None
+            if size == 400:
+                assert got.select(F.spark_partition_id()).distinct().count() > 4
