@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.errors import check, check_number
 from graphloom.graph import Graph, settles
 from graphloom.lineage import cut
+from graphloom.operators.triangles import triangles
 
 
 @settles
@@ -67,9 +69,13 @@ def common_motifs(graphs: list[Graph], max_size: int = 3, min_support: float = 0
 def subgraph_match(graph: Graph, query_edges: list[tuple[str, str]], directed: bool = False, induced: bool = False) -> DataFrame:
     """One row per mapping of the query's vertices (a column each) to different vertices; edges match in either direction unless ``directed``."""
     check(bool(query_edges), "the query needs an edge")
+    names = sorted({v for e in query_edges for v in e})
+    if not directed and len(query_edges) == len(names) == len({frozenset(e) for e in query_edges if e[0] != e[1]}) == 3:
+        # a triangle: each is found once and mapped in its six ways, with no row for a wedge
+        ways = F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(way, names)]) for way in permutations("xyz")])
+        return triangles(graph).select(F.explode(ways).alias("way")).select("way.*")
     near = graph.edges.where("source != target").select("source", "target").distinct() if directed else graph.symmetric_edges()
     near = cut(near, "match-edges")
-    names = sorted({v for e in query_edges for v in e})
     left, bound, out = list(query_edges), set(), None
     while left:
         a, b = next((e for e in left if bound & {*e}), left[0])

@@ -1,5 +1,6 @@
 """What keeps operators in bounds on large tables, at small sizes."""
 
+import itertools
 import random
 from collections import deque
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom import lineage, views
 from graphloom.graph import Graph
-from graphloom.operators import centrality, sources
+from graphloom.operators import centrality, motifs, sources, triangles
 
 
 def random_edges(n, m, seed):
@@ -99,3 +100,25 @@ def test_views_in_many_tasks(spark, monkeypatch, tmp_path):
             assert oracle.compare(got, oracle.connect(d), views.cte(name) + f" select * from {name}") is None
             if size == 400:
                 assert got.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_triangles_by_colours(spark, monkeypatch):
+    """Each triangle once, of one, two or three colours, beside a vertex that all others meet; its six mappings without a join of wedges."""
+    edges = random_edges(40, 200, 11) + [("hub", f"v{i}") for i in range(40)] + [("v1", "v2"), ("v2", "v1"), ("v3", "v3")]
+    near = {frozenset(e) for e in edges if e[0] != e[1]}
+    ids = sorted({x for e in edges for x in e})
+    want = {t for t in itertools.combinations(ids, 3) if all(frozenset(p) in near for p in itertools.combinations(t, 2))}
+    g = Graph.from_edges(spark.createDataFrame(edges, "source string, target string"))
+    for in_task, wedges in ((1 << 21, 1 << 22), (60, 7)):
+        monkeypatch.setattr(triangles, "EDGES", in_task)
+        monkeypatch.setattr(triangles, "WEDGES", wedges)
+        got = [tuple(sorted(r)) for r in triangles.triangles(g).collect()]
+        assert len(got) == len(want) and {*got} == want
+        assert triangles.triangle_count(g).first()["value"] == len(want)
+        assert {r.node_id: r.triangles for r in triangles.triangles_per_node(g).collect()} == {i: sum(i in t for t in want) for i in ids}
+        match = motifs.subgraph_match(g, [("a", "b"), ("b", "c"), ("c", "a")])
+        assert "Join" not in match._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+        got = [tuple(r) for r in match.collect()]
+        assert match.columns == ["a", "b", "c"] and len(got) == len({*got}) == 6 * len(want) and {tuple(sorted(t)) for t in got} == want
+    assert triangles.triangle_count(Graph.empty(spark)).first()["value"] == 0
+    assert triangles.triangles_per_node(Graph.from_edges(spark.createDataFrame([("x", "y")], "source string, target string"))).count() == 2
