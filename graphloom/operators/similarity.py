@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.errors import check_number
 from graphloom.graph import Graph, settles
-from graphloom.lineage import cut
+from graphloom.lineage import cut, cut_counted
+from graphloom.operators.components import weak_roots
 from graphloom.operators.motifs import motif_counts
 from graphloom.operators.paths import multi_bfs
 from graphloom.operators.walks import random_walk
@@ -34,7 +37,6 @@ def nearest_neighbours(vectors: DataFrame, k: int, id_col: str = "id", vector_co
     Vectors are normalised once and dealt to blocks; each two blocks meet in one task as matrices, which keeps only its k best per row.
     """
     check_number("k", k, low=1)
-    import numpy as np
     import pandas as pd
 
     norm = F.sqrt(dot(vector_col, vector_col))
@@ -94,10 +96,85 @@ def graphlet_kernel(a: Graph, b: Graph, size: int = 3) -> float:
     return _overlap(of(a), of(b), ["nv", "ne", "degrees"])
 
 
-@settles
+def _lengths(a: pa.Array, b: pa.Array, longest: int) -> np.ndarray:
+    """Numbers of ordered pairs at each distance from 0 to ``longest`` in the undirected graph of the distinct edges (a, b)."""
+    both = pa.chunked_array([a, b]).dictionary_encode().unify_dictionaries()
+    u, v = (both.chunk(i).indices.to_numpy().astype(np.int64) for i in (0, 1))
+    n = len(both.chunk(0).dictionary)
+    start, end = np.concatenate([u, v]), np.concatenate([v, u])
+    end = end[np.argsort(start, kind="stable")]
+    size = np.bincount(start, minlength=n)
+    begin = np.cumsum(size) - size
+    out = np.zeros(longest + 1, np.int64)
+    front, behind = np.arange(n) * (n + 1), np.empty(0, np.int64)  # pairs as source * n + vertex
+    for depth in range(1, longest + 1):
+        k = size[front % n]
+        edge = np.arange(k.sum()) + np.repeat(begin[front % n] - (np.cumsum(k) - k), k)
+        step = np.unique(np.repeat(front - front % n, k) + end[edge])
+        for old in (front, behind):  # a step from a layer leads to it, the one before or the one after
+            if len(old) and len(step):
+                step = step[old[np.minimum(np.searchsorted(old, step), len(old) - 1)] != step]
+        if not len(step):
+            break
+        out[depth] = len(step)
+        front, behind = step, front
+    return out
+
+
+def _small_lengths(edges: DataFrame, longest: int, most: int) -> DataFrame:
+    """(length, n): pairs within the components of edges (root, a, b), which lie in one partition each, one after the other; about ``most`` pairs at once."""
+
+    def run(batches):
+        out, kept = np.zeros(longest + 1, np.int64), None
+        for batch in _with_end(batches):
+            table = kept if batch is None else pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            table = table.combine_chunks()
+            root = table.column("root").chunk(0).dictionary_encode().indices.to_numpy()
+            first = np.flatnonzero(np.diff(root, prepend=-1))
+            bounds = np.append(first, len(root))
+            whole = len(first) if batch is None else len(first) - 1  # the last component may go on
+            cost = np.cumsum((np.diff(bounds).astype(np.float64)[:whole] + 1) ** 2)
+            lo = 0
+            while lo < whole:
+                hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + most, side="right")))
+                part = table.slice(bounds[lo], bounds[hi] - bounds[lo])
+                out += _lengths(part.column("a").combine_chunks(), part.column("b").combine_chunks(), longest)
+                lo = hi
+            kept = table.slice(bounds[whole])
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(out[some], pa.int64())], names=["length", "n"])
+
+    return edges.mapInArrow(run, "length int, n bigint")
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+SMALL = 2048  # edges of a component whose pairs one task counts
+PAIRS = 1 << 22  # that a task holds at once, about
+EDGES = 1 << 19  # of a task
+
+
 def path_length_histogram(graph: Graph, longest: int = 10) -> DataFrame:
-    """(length, n): ordered pairs by undirected distance, from 1 to ``longest``."""
-    return multi_bfs(graph, graph.node_ids(), longest, "both").where("depth > 0").groupBy(F.col("depth").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    """(length, n): ordered pairs by undirected distance, from 1 to ``longest``.
+
+    Small components are dealt to tasks whole, which count their pairs; only those of large components become rows.
+    """
+    pairs, m = cut_counted(graph.undirected_pairs(), "lengths-pairs")
+    placed = cut(pairs.join(weak_roots(pairs).withColumnRenamed("id", "a"), "a").select("root", "a", "b"), "lengths-edges")
+    large = cut(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("root"), "lengths-large")
+    found, rest = None, placed
+    if not large.isEmpty():
+        wide = Graph.from_edges(placed.join(large, "root", "left_semi").select(F.col("a").alias("source"), F.col("b").alias("target")))
+        found = multi_bfs(wide, wide.node_ids(), longest, "both").where("depth > 0").groupBy(F.col("depth").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+        rest = placed.join(large, "root", "left_anti")
+    small = _small_lengths(rest.repartition(max(1, min(-(-m // (1 << 12)), int(graph.spark.conf.get("spark.sql.shuffle.partitions"))), -(-m // EDGES)), "root").sortWithinPartitions("root"), longest, PAIRS)
+    found = small if found is None else small.unionByName(found)
+    return found.groupBy("length").agg(F.sum("n").alias("n"))
 
 
 def shortest_path_kernel(a: Graph, b: Graph, sd: float = 0.1, longest: int = 10) -> float:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom import lineage, views
 from graphloom.graph import Graph
-from graphloom.operators import centrality, motifs, sources, triangles
+from graphloom.operators import centrality, motifs, similarity, sources, triangles
 
 
 def random_edges(n, m, seed):
@@ -122,3 +122,31 @@ def test_triangles_by_colours(spark, monkeypatch):
         assert match.columns == ["a", "b", "c"] and len(got) == len({*got}) == 6 * len(want) and {tuple(sorted(t)) for t in got} == want
     assert triangles.triangle_count(Graph.empty(spark)).first()["value"] == 0
     assert triangles.triangles_per_node(Graph.from_edges(spark.createDataFrame([("x", "y")], "source string, target string"))).count() == 2
+
+
+def test_path_lengths_by_component(spark, monkeypatch):
+    """The histogram of searches from each vertex, with components counted in tasks, in parts, or as rows because they are large."""
+    edges = [(f"c{i}-{j}", f"c{i}-{j + 1}") for i in range(12) for j in range(i)] + [("star", f"leaf{i}") for i in range(15)] + [("leaf1", "star"), ("own", "own")] + random_edges(25, 30, 4)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for s in near:
+        depth, todo = {s: 0}, deque([s])
+        while todo:
+            u = todo.popleft()
+            for v in near[u] - depth.keys():
+                depth[v] = depth[u] + 1
+                todo.append(v)
+        for d in depth.values():
+            if 0 < d <= 6:
+                want[d] = want.get(d, 0) + 1
+    g = Graph.from_edges(spark.createDataFrame(edges, "source string, target string"))
+    for small, at_once in ((2048, 1 << 22), (2048, 10), (5, 40)):
+        monkeypatch.setattr(similarity, "SMALL", small)
+        monkeypatch.setattr(similarity, "PAIRS", at_once)
+        before = lineage.mark()
+        assert {r.length: r.n for r in similarity.path_length_histogram(g, 6).collect()} == want
+        assert lineage.mark() - before <= (6 if small == 2048 else 20)
+    assert similarity.path_length_histogram(Graph.empty(spark)).count() == 0
