@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, settles
 from graphloom.operators.centrality import degrees
 from graphloom.operators.components import component_sizes, weakly_connected_components
 from graphloom.operators.triangles import clustering_coefficient
@@ -15,6 +15,7 @@ DENSITY, DEGREE, CLUSTERING, COMPONENTS, EDGE_BURST, NODE_BURST = 0.10, 0.15, 0.
 METRICS = "batch long, node_count long, edge_count long, density double, avg_degree double, clustering double, largest_component long, component_count long"
 
 
+@settles
 def graph_metrics(graph: Graph, batch: int) -> DataFrame:
     """One metrics row; average degree is 2m / n and clustering the global coefficient."""
     n, m = graph.node_count(), graph.edge_count()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom import lineage, views
 from graphloom.graph import Graph
 from graphloom.operators import centrality, motifs, similarity, sources, triangles
+from graphloom.streaming import changes
 
 
 def random_edges(n, m, seed):
@@ -150,3 +151,19 @@ def test_path_lengths_by_component(spark, monkeypatch):
         assert {r.length: r.n for r in similarity.path_length_histogram(g, 6).collect()} == want
         assert lineage.mark() - before <= (6 if small == 2048 else 20)
     assert similarity.path_length_histogram(Graph.empty(spark)).count() == 0
+
+
+def test_metrics_read_a_graph_once(spark):
+    """The edges' rows are made once, however many metrics read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e")], "source string, target string")
+    g = Graph.from_edges(edges.mapInArrow(counted, edges.schema))
+    row = changes.graph_metrics(g, 3).first()
+    assert (row.batch, row.node_count, row.edge_count, row.clustering, row.largest_component, row.component_count) == (3, 5, 4, 1.0, 3, 2)
+    assert made.value == 4
